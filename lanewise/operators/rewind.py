@@ -99,8 +99,8 @@ def filters(clusters: DataFrame, tiles: DataFrame) -> DataFrame:
     geometry, so no pairs are compared and nothing is joined.
     """
     wanted = tiles.select("lane", "tile").distinct().collect()
-    has = clusters.groupBy("x", "y").agg(F.collect_set(F.struct("lane", "tile")).alias("has"))
-    every = F.array(*[F.struct(F.lit(l).alias("lane"), F.lit(t).alias("tile")) for l, t in wanted])
+    has = clusters.groupBy("x", "y").agg(F.collect_set(F.struct(F.col("lane").cast("bigint").alias("lane"), F.col("tile").cast("bigint").alias("tile"))).alias("has"))
+    every = F.array(*[F.struct(F.lit(l).cast("bigint").alias("lane"), F.lit(t).cast("bigint").alias("tile")) for l, t in wanted])
     return has.select((F.col("x") + SHIFT).alias("x"), (F.col("y") + SHIFT).alias("y"), "has", F.explode(every).alias("t")).select(
         "t.lane", "t.tile", "x", "y", F.array_contains("has", F.col("t")).cast("int").alias("passed"))
 

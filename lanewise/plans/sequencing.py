@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -561,9 +563,6 @@ def cycle_hex(spark, d):
 @query(BLOCKS)
 def cycle_blocks(spark, d):
     """The packed form, opened again: the same rows as ``cycle_hex``."""
-    import gzip
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def plain(block: pd.Series) -> pd.Series:
@@ -648,15 +647,14 @@ def dir_kind(spark, d):
 
 @query("""select cast(ord as bigint) as ord, path, kind from (values (1, 'mydir', 'dir'), (2, 'mydir/.DS_Store', 'file'), (3, 'mydir/a.b', 'file'), (4, 'mydir/hello.txt', 'file'), (5, 'mydir/plain', 'dir'), (6, 'mydir/subdir', 'dir'), (7, 'mydir/x.y', 'dir'), (8, 'mydir/z', 'dir')) t(ord, path, kind)""")
 def dir_extract(spark, d):
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as at:  # of the driver, which lists it too
-        tree.create(tree.parse(_listing(spark)), at)
-        return tree.extract(spark, f"{at}/mydir")
+    at = folder(spark).removeprefix("file:")
+    tree.create(tree.parse(_listing(spark)), at)
+    return tree.extract(spark, f"{at}/mydir")
 
 
 @query()
 def blob_files(spark, d):
     at = folder(spark)
     files.write_blobs(cbcl_files(spark, d), at)
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at).select(F.replace("path", F.lit(f"{at.removeprefix('file:')}/"), F.lit("")).alias("path"), "content").to(FILE)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at)
+    return found.select(F.regexp_extract("path", "Data/.*$", 0).alias("path"), "content").to(FILE)

@@ -20,6 +20,8 @@ ARROW = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("name", pa.strin
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
@@ -32,7 +34,7 @@ def listed(path: str, glob: str) -> list[str]:
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
     found = system.get_file_info(fs.FileSelector(inner, recursive=True))
-    scheme = path.partition("://")[0] + "://" if "://" in path else ""
+    scheme = path.partition("://")[0] + "://" if "://" in path and not path.startswith("file:") else ""
     return sorted(scheme + i.path for i in found if i.type == fs.FileType.File and fnmatch.fnmatch(i.base_name, glob))
 
 
