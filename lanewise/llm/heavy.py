@@ -117,16 +117,22 @@ def build_sketch(prints: DataFrame, width: int, depth: int, seed: int) -> np.nda
 def complete(cells: np.ndarray, verified: list[tuple[int, int]], least: int, width: int, seed: int) -> bool:
     """True if no item of at least ``least`` can be missing from ``verified`` (fingerprint, total).
 
-    A missing one would leave that much in its bucket of every row, so a row without such a
-    rest proves that none is missing.
+    What is left of a bucket without the verified items can only hold such an item if every bit
+    has that much on one of its sides. A missing item would do so in its bucket of every row,
+    so a row without such a bucket proves that none is missing.
     """
     prints = np.array([p for p, _ in verified], np.uint64)
     totals = np.array([t for _, t in verified], np.int64)
     for row in range(len(cells)):
-        rest = cells[row, 0].copy()
+        rest = cells[row].copy()
         if len(prints):
-            rest -= sums(buckets(prints, row, width, seed), totals, width)
-        if (rest < least).all():
+            at = buckets(prints, row, width, seed)
+            rest[0] -= sums(at, totals, width)
+            for b in range(BITS):
+                on = (prints >> np.uint64(b)) & np.uint64(1) == 1
+                rest[b + 1] -= sums(at[on], totals[on], width)
+        larger = np.maximum(rest[1:], rest[0] - rest[1:])
+        if not (larger >= least).all(axis=0).any():
             return True
     return False
 

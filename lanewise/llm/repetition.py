@@ -19,13 +19,11 @@ from lanewise.runtime import checkpointed
 STRETCH = 6
 SHARE = 0.6
 BINS = 16_384
+#: Raw n-grams added to the target's counts, so that what it lacks has a finite ratio.
+PRIOR = 10
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def is_letter_run(word: str) -> bool:
-    return word.isalpha()
-
-
 def words_of(text: str) -> list[str]:
     """The longest runs of letters of any script, lower case."""
     if text.isascii():
@@ -141,8 +139,8 @@ def ngram_ratio(df: DataFrame, id: str, text: str, trusted: str, bins: int = BIN
     """``id``, ``grams``, ``llr``, ``kept``: hashed n-gram log-likelihood ratio of each document.
 
     ``trusted`` is a boolean column (null counts as false) that marks the target documents; the
-    raw multinomial is that of all rows. Words and word pairs are hashed into ``bins``, counts
-    smoothed by one. ``llr`` is divided by the number of n-grams, 0 for a text without words;
+    raw multinomial is that of all rows. Words and word pairs are hashed into ``bins``, the target's
+    counts smoothed by ``PRIOR`` n-grams of the raw multinomial. ``llr`` is divided by the number of n-grams, 0 for a text without words;
     a document is ``kept`` at 0 or more. Counting sends at most ``bins`` rows per task and to
     the driver, scoring a table of ``bins`` numbers to each task.
     """
@@ -161,10 +159,13 @@ def ngram_ratio(df: DataFrame, id: str, text: str, trusted: str, bins: int = BIN
 
     parts = rows.select("trusted", "text").mapInArrow(count, "bin bigint, raw bigint, target bigint")
     got = parts.groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.ones(bins), np.ones(bins)
-    raw[got["bin"].to_numpy()] += got["raw"].to_numpy()
-    target[got["bin"].to_numpy()] += got["target"].to_numpy()
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw, target = np.zeros(bins), np.zeros(bins)
+    raw[got["bin"].to_numpy()] = got["raw"].to_numpy()
+    target[got["bin"].to_numpy()] = got["target"].to_numpy()
+    seen = raw > 0
+    part = raw[seen] / raw.sum()
+    ratio = np.zeros(bins)
+    ratio[seen] = np.log((target[seen] + PRIOR * part) / (target.sum() + PRIOR)) - np.log(part)
 
     def work(value: str | None) -> tuple[int, float]:
         at = gram_bins(value, bins)

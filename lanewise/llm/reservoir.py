@@ -83,7 +83,8 @@ def reservoir_sample(df: DataFrame, k: int, piece: str, id: str, slots: int = SL
     row's place within its slot is a seeded hash of it, so the sample is the same however the
     files are split or tasks run again. Rows that share an id, or have none, are placed by
     their other values too; rows that are alike in all columns fall into the same place and
-    are taken one by one in any order. An empty table gives an empty one.
+    are taken one by one in any order. An empty table gives an empty one. ``df`` is read twice
+    and must give the same rows each time.
 
     Pass 1 counts rows by (batch, slot), combined map-side; the driver gets at most
     ``most_batches * slots`` numbers. Pass 2 ranks rows within each (batch, slot); before that
