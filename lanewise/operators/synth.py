@@ -83,20 +83,34 @@ def flowcell_name(day: Column, instrument: Column, run: Column, flowcell: Column
     return F.concat(F.date_format(day, "yyyyMMdd"), F.lit("_"), instrument, F.lit("_"), names.left_pad(run.cast("string"), 4, "0"), F.lit("_A"), flowcell)
 
 
-def paired_reads(spark: SparkSession, number: int, prefix: str, tile: int, recipe: dict[str, int], extension: str = "", alphabet: str = "ACGT", seed: int = 0) -> DataFrame:
-    """``pos``, ``mate``, ``name``, ``sequence``, ``quality`` of one sample; the second mate only if the recipe has one."""
-    mates = [m for m in (1, 2) if recipe.get(f"R{m}")]
-    out = None
-    for m in mates:
-        rows = positions(sequences(spark, number, recipe[f"R{m}"], alphabet, seed + m), number, seed)
-        for u in ("U1", "U2"):
-            n = recipe.get(u, 0)
-            rows = rows.withColumn(u, F.array_join(F.transform(F.sequence(F.lit(1), F.lit(max(n, 1))), lambda i, u=u: F.substr(F.lit(letters(alphabet)), (F.pmod(F.xxhash64(F.lit(seed), F.lit(u), F.col("id"), i), F.lit(len(letters(alphabet)))) + 1).cast("int"), F.lit(1))), "") if n else F.lit(""))
-        umi = F.concat(F.when(F.col("U1") != "", F.concat(F.lit(":"), F.col("U1"))).otherwise(""), F.when(F.col("U2") != "", F.concat(F.lit("+"), F.col("U2"))).otherwise(""))
-        name = F.concat(F.lit(f"{prefix}:{tile}:"), F.col("x").cast("string"), F.lit(":"), F.col("y").cast("string"), umi, F.lit(extension.replace(" 1", f" {m}", 1)))
-        rows = rows.select(F.col("id").alias("pos"), F.lit(m).alias("mate"), name.alias("name"), "sequence", F.repeat(F.lit("I"), F.length("sequence")).alias("quality"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def hashed(length: Column, alphabet: str, *keys: Column) -> Column:
+    """A sequence of ``length`` letters chosen by hashes of the keys and the place; empty for 0."""
+    alpha = letters(alphabet)
+    place = lambda i: F.substr(F.lit(alpha), (F.pmod(F.xxhash64(*keys, i), F.lit(len(alpha))) + 1).cast("int"), F.lit(1))
+    return F.when(length > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(length, F.lit(1))), place), "")).otherwise("")
+
+
+def sample_reads(samples: DataFrame, number: int, alphabet: str = "ACGT", seed: int = 0) -> DataFrame:
+    """``number`` clusters of each sample, a row for each mate that its recipe has.
+
+    ``samples``: n, prefix (of the read names, without tile), tile, extension, and R1, R2, U1,
+    U2 (cycles). Result: n, pos, mate, name, sequence, quality.
+    """
+    side = F.lit(math.ceil(math.sqrt(number)))
+    if math.ceil(math.sqrt(number)) > Y_RANGE:
+        raise ValueError(f"a tile has room for {Y_RANGE**2} reads")
+    mates = F.filter(F.array(F.lit(1), F.lit(2)), lambda m: F.when(m == 1, F.col("R1")).otherwise(F.col("R2")) > 0)
+    rows = samples.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(number - 1).cast("bigint")))).withColumn("mate", F.explode(mates))
+    x = scattered(F.floor(F.col("pos") / side).cast("bigint"), X_RANGE, seed) + ORIGIN
+    y = scattered(F.pmod("pos", side).cast("bigint"), Y_RANGE, seed) + ORIGIN
+    key = [F.lit(seed), F.col("n"), F.col("pos")]
+    umi = [hashed(F.col(u), alphabet, *key, F.lit(u)) for u in ("U1", "U2")]
+    umis = F.when((F.col("U1") > 0) | (F.col("U2") > 0), F.concat(F.lit(":"), F.concat_ws("+", *[F.nullif(u, F.lit("")) for u in umi]))).otherwise("")
+    end = F.when(F.col("mate") == 2, F.regexp_replace("extension", "^ 1", " 2")).otherwise(F.col("extension"))
+    name = F.concat("prefix", F.lit(":"), F.col("tile").cast("string"), F.lit(":"), x.cast("string"), F.lit(":"), y.cast("string"), umis, end)
+    length = F.when(F.col("mate") == 1, F.col("R1")).otherwise(F.col("R2"))
+    sequence = hashed(length, alphabet, *key, F.col("mate"))
+    return rows.select("n", "pos", "mate", name.alias("name"), sequence.alias("sequence"), F.repeat(F.lit("I"), length).alias("quality"))
 
 
 def sample_paths(samples: DataFrame) -> DataFrame:

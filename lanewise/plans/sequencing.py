@@ -618,7 +618,11 @@ def gen_distinct(spark, d):
 
 @query()
 def gen_reads(spark, d):
-    return synth.paired_reads(spark, 500, "VH1:1:FC1:1", 1101, masks.parse("U4Y30;I8;I8;Y28"), " 1:N:0:ACGTACGT", seed=4)
+    rows = sheets.sample_numbers(view(spark, d, "samples")).withColumn("m", masks.parse_mask(F.col("OverrideCycles")))
+    samples = rows.select(
+        F.col("number").alias("n"), F.concat(F.lit("VH1:1:FC1:"), F.col("Lane")).alias("prefix"), F.lit(1101).alias("tile"),
+        names.read_extension(F.col("index"), F.col("index2"), True).alias("extension"), "m.R1", "m.R2", "m.U1", "m.U2")
+    return synth.sample_reads(samples, 50, seed=4)
 
 
 @query()
