@@ -140,8 +140,11 @@ def rewind_run(spark: SparkSession, folder: str, output: str, sheet_text: str, t
     return total
 
 
-def generate_run(spark: SparkSession, output: Path, sheet_text: str, number: int, alphabet: str, extended: bool, flowcell: str | None, seed: int, day: dt.date | None = None) -> Path:
-    """A demultiplexed flowcell folder with ``number`` reads of each sample of the sheet; its path."""
+def generate_run(spark: SparkSession, output: Path, sheet_text: str, number: int, alphabet: str, extended: bool, flowcell: str | None, seed: int, day: dt.date | None = None, taint: bool = False) -> Path:
+    """A demultiplexed flowcell folder with ``number`` reads of each sample of the sheet; its path.
+
+    With ``taint`` about a tenth of each sample's reads also lie in its lane's undetermined file.
+    """
     sheet = sheets.read_sheet(spark, sheet_text, required=("Lane", "Sample_ID", "Sample_Project"))
     cell = synth.flowcell_id(seed)
     instrument, run = f"VH{10000 + seed % 90000}", 100 + seed % 900
@@ -163,6 +166,11 @@ def generate_run(spark: SparkSession, output: Path, sheet_text: str, number: int
     ready = table.withColumn("extension", names.read_extension(F.col("i1"), F.col("i2"), extended)).withColumn("reads", 1 + (F.col("R2") > 0).cast("int"))
     paths = synth.sample_paths(ready).join(ready.select("n", "number"), "number")
     reads = synth.sample_reads(ready, number, alphabet, seed).join(F.broadcast(paths.select("n", "mate", F.col("path").alias("file"))), ["n", "mate"])
+    if taint:
+        lane = names.lane_name(F.split_part("name", F.lit(":"), F.lit(4)))
+        some = reads.filter(F.pmod(F.xxhash64(F.lit(seed), "n", "pos"), F.lit(10)) == 0)
+        other = F.concat(F.lit("Demultiplexing/Undetermined_S0_"), lane, F.lit("_R"), F.col("mate").cast("string"), F.lit("_001.fastq.gz"))
+        reads = reads.unionByName(some.withColumns({"file": other, "pos": F.col("n") * F.lit(number).cast("bigint") + F.col("pos")}))
     files.write_sequences(reads, str(top))
     return top
 

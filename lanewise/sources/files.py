@@ -6,11 +6,13 @@ import fnmatch
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from lanewise.schema import FILE, READ
 
@@ -112,7 +114,7 @@ class Written(WriterCommitMessage):
     moves: list[tuple[str, str]]
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     """Files named by the first column of the rows, below the path; they appear when the whole job has succeeded.
 
     A task writes under a name of its own, so that attempts don't meet; the driver moves the
@@ -122,24 +124,26 @@ class Writer(DataSourceWriter):
     def __init__(self, path: str, form):
         self.path, self.form, self.spare = path.rstrip("/"), form, f"_temporary-{uuid.uuid4().hex}"
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         system, base = opened(self.path)
         attempt = f"{base}/{self.spare}/{uuid.uuid4().hex}"
         moves: dict[str, str] = {}
         now, out = None, None
         try:
-            for row in rows:
-                if row[0] != now:
-                    if out:
-                        out.close()
-                    now = row[0]
-                    if now in moves:
-                        raise ValueError(f"rows of {now} aren't together; repartition and sort by file")
-                    at = f"{attempt}/{len(moves)}" + (".gz" if now.endswith(".gz") else "")
-                    system.create_dir(attempt, recursive=True)
-                    moves[now] = at
-                    out = system.open_output_stream(at, compression="gzip" if now.endswith(".gz") and self.form is not raw else None)
-                out.write(self.form(row))
+            for batch in batches:
+                texts = self.form(batch)
+                for name, run in groupby(enumerate(batch.column(0).to_pylist()), key=itemgetter(1)):
+                    if name != now:
+                        if out:
+                            out.close()
+                        now = name
+                        if now in moves:
+                            raise ValueError(f"rows of {now} aren't together; repartition and sort by file")
+                        at = f"{attempt}/{len(moves)}" + (".gz" if now.endswith(".gz") else "")
+                        system.create_dir(attempt, recursive=True)
+                        moves[now] = at
+                        out = system.open_output_stream(at, compression="gzip" if now.endswith(".gz") and self.form is not raw else None)
+                    out.write(b"".join([texts[i] for i, _ in run]))
         finally:
             if out:
                 out.close()
@@ -163,16 +167,16 @@ class Writer(DataSourceWriter):
             system.delete_dir(f"{base}/{self.spare}")
 
 
-def fastq_text(row) -> bytes:
-    return f"@{row['name']}\n{row['sequence']}\n+\n{row['quality']}\n".encode()
+def fastq_text(rows: pa.RecordBatch) -> list[bytes]:
+    return [f"@{n}\n{s}\n+\n{q}\n".encode() for n, s, q in zip(*(rows.column(c).to_pylist() for c in ("name", "sequence", "quality")))]
 
 
-def fasta_text(row) -> bytes:
-    return f">{row['name']}\n{row['sequence']}\n".encode()
+def fasta_text(rows: pa.RecordBatch) -> list[bytes]:
+    return [f">{n}\n{s}\n".encode() for n, s in zip(*(rows.column(c).to_pylist() for c in ("name", "sequence")))]
 
 
-def raw(row) -> bytes:
-    return bytes(row["content"])
+def raw(rows: pa.RecordBatch) -> list[bytes]:
+    return rows.column("content").to_pylist()
 
 
 class FastqSource(DataSource):

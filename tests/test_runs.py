@@ -105,6 +105,19 @@ def test_generate_and_rewind(spark, tmp_path):
     assert 'NumCycles="31"' in xml and 'IsIndexedRead="Y"' in xml and "<Tile>1_" in xml and "FourDigit" in xml
 
 
+def test_tainted_run(spark, tmp_path):
+    sheet = tmp_path / "SampleSheet.csv"
+    sheet.write_text(SHEET.format(r1=31))
+    (tmp_path / "o").mkdir()
+    cli.main(["generate", "--sample-sheet", str(sheet), "--output", str(tmp_path / "o"), "--format", "fastq", "--seq-number", "200", "--flowcell-id", "FC", "--taint"])
+    one, two = (list(files.fastq_records(str(tmp_path / f"o/FC/Demultiplexing/Undetermined_S0_L001_R{m}_001.fastq.gz"))) for m in (1, 2))
+    assert 20 < len(one) < 70 and [x[0].split(" ")[0] for x in one] == [x[0].split(" ")[0] for x in two]
+    own = {x for p in (tmp_path / "o").rglob("[ab]_*_R1_*") for x in files.fastq_records(str(p))}
+    assert set(one) < own
+    out = tmp_path / "r"
+    assert cli.main(["mixing", "--input-path", str(tmp_path / "o/FC"), "--output-path", str(tmp_path)]) == 0 and not out.exists()
+
+
 def test_mixing_tool(tmp_path):
     flow = tmp_path / "FLOW"
     name = "i:1:f:{}:1101:1:1 1:N:0:{}"
