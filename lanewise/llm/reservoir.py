@@ -127,3 +127,48 @@ def reservoir_sample(df: DataFrame, k: int, piece: str, id: str, slots: int = SL
     if sample.count() != int(kept.sum()):
         sample = checkpointed(choose(None))
     return sample
+
+
+class Reservoir:
+    """The same reservoir for pieces that really arrive one after the other, for instance in ``foreachBatch``.
+
+    ``sample`` is the state, written to the shared folder after each piece; only its row counts
+    by slot are kept on the driver. Each ``add`` reads the piece twice (its counts, then the
+    rows it gives) and the sample once, whatever came before.
+    """
+
+    def __init__(self, k: int, id: str, slots: int = SLOTS, seed: int = 5):
+        self.k, self.id, self.slots, self.seed = k, id, slots, seed
+        self.rng = np.random.default_rng(seed)
+        self.sample: DataFrame | None = None
+        self.held = np.zeros(slots, np.int64)
+        self.seen = self.step = 0
+
+    def _first(self, df: DataFrame, by_slot: np.ndarray, salt: int) -> DataFrame:
+        """So many rows of each slot, chosen uniformly."""
+        slot, take, rank = (fresh_name(df, f"__{x}") for x in ("slot", "take", "rank"))
+        ids = F.col(f"`{self.id}`")
+        others = [F.col(f"`{c}`") for c, kind in df.dtypes if "map" not in kind]
+        use = df.sparkSession.createDataFrame([(s, int(n)) for s, n in enumerate(by_slot) if n], f"`{slot}` int, `{take}` bigint")
+        marked = df.withColumn(slot, F.pmod(F.xxhash64(F.lit(self.seed + 2), ids), F.lit(self.slots)).cast("int"))
+        order = [F.xxhash64(F.lit(self.seed), F.lit(self.step), F.lit(salt), ids), F.xxhash64(F.lit(self.step), *others)]
+        most = int(by_slot.max(initial=0))  # a constant bound, which prunes before the exchange
+        ranked = marked.join(F.broadcast(use), slot).withColumn(rank, F.row_number().over(Window.partitionBy(slot).orderBy(*order))).filter(F.col(rank) <= most)
+        return ranked.filter(F.col(rank) <= F.col(take)).select(df.columns)
+
+    def add(self, piece: DataFrame) -> DataFrame:
+        """The sample after ``piece``; an empty piece changes nothing."""
+        self.step += 1
+        slot = F.pmod(F.xxhash64(F.lit(self.seed + 2), F.col(f"`{self.id}`")), F.lit(self.slots)).cast("int")
+        counts = np.zeros(self.slots, np.int64)
+        for s, n in piece.groupBy(slot.alias("slot")).count().collect():
+            counts[s] = n
+        n, size = int(counts.sum()), int(self.held.sum())
+        full = min(self.k, self.seen + n)
+        new = hypergeometric(self.rng, n, self.seen, full)
+        kept = self.held - split(self.rng, self.held, size + new - full)
+        inserted = split(self.rng, counts, new)
+        fresh = self._first(piece, inserted, 1)
+        self.sample = checkpointed(fresh if self.sample is None else self._first(self.sample, kept, 2).unionByName(fresh))
+        self.held, self.seen = kept + inserted, self.seen + n
+        return self.sample

@@ -114,3 +114,18 @@ def test_samples_of_unusual_tables(spark):
     assert reservoir.reservoir_sample(table(spark), 100, "chunk_id", "read_id", headroom=-5.0).count() == 100
     # few batches: pieces are taken together
     assert reservoir.reservoir_sample(table(spark), 100, "chunk_id", "read_id", most_batches=3).count() == 100
+
+
+def test_a_reservoir_fed_piece_by_piece(spark):
+    seen = Counter()
+    for seed in range(25):
+        state = reservoir.Reservoir(20, "id", slots=2, seed=seed)
+        for low, high in ((0, 15), (15, 15), (15, 70), (70, 80)):
+            piece = spark.range(low, high).withColumn("__slot", F.lit("clash"))
+            sample = state.add(piece)
+            assert sample.count() == min(20, high) and sample.columns == ["id", "__slot"]
+        ids = [r["id"] for r in sample.collect()]
+        assert len(set(ids)) == 20
+        seen.update("first" if i < 15 else "second" if i < 70 else "third" for i in ids)
+    for name, n in (("first", 15), ("second", 55), ("third", 10)):
+        assert abs(seen[name] / 25 - n / 4) < 1.6
