@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters that a transducer holds at most before it emits what is stable.
 WINDOW = 32_768
+#: Ids that are decoded at once.
+IDS = 16_384
 #: A cut before one of these is a border of pre-tokens, if no white space stands before it.
 BLANKS = " \n\t\r"
 #: The longest alternative of the pattern that looks at single characters (a contraction).
@@ -187,7 +189,7 @@ class Decoder:
         self.bytes = codecs.getincrementaldecoder("utf-8")(errors="replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        return "".join(self.bytes.decode(self.tokens[i]) for i in ids)
+        return self.bytes.decode(b"".join([self.tokens[i] for i in ids]))
 
     def finish(self) -> str:
         return self.bytes.decode(b"", final=True)
@@ -264,7 +266,8 @@ def decode_corpus(df: DataFrame, keep: list[str], ids: str = "ids", out: str = "
             texts = []
             for value in batch.column(batch.num_columns - 1):
                 decoder = Decoder(known)
-                texts.append(decoder.feed(value.as_py() or []) + decoder.finish())
+                ids = value.values.to_numpy(zero_copy_only=False).tolist() if value.is_valid else []
+                texts.append("".join([decoder.feed(ids[at : at + IDS]) for at in range(0, len(ids), IDS)]) + decoder.finish())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "out"])
 
     schema = ", ".join([f"k{i} {t}" for i, (_, t) in enumerate(rows.dtypes[:-1])] + ["out string"])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lanewise.llm import bpe, heavy, mixture, repetition, reservoir, topn
 from lanewise.runtime import table
@@ -56,9 +55,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    shares = repetition.repetition(docs).select("doc_id", (F.col("share") <= 0.1).alias("trusted"))
-    return repetition.ngram_ratio(docs.select("doc_id", "text").join(shares, "doc_id"), "doc_id", "text", "trusted")
+    return repetition.ngram_ratio(table(spark, sf_dir, "documents"), "doc_id", "text", 0.1)
 
 
 def queries() -> dict:

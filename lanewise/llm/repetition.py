@@ -125,9 +125,8 @@ def repetition(df: DataFrame, id: str = "doc_id", text: str = "text", share: flo
         "repetitive", passed & (F.col("words") > 0) & (F.col("share") >= share))
 
 
-def gram_bins(text: str | None, bins: int) -> np.ndarray:
+def gram_bins(words: list[str], bins: int) -> np.ndarray:
     """Bins of a text's hashed words and word pairs."""
-    words = words_of(text) if text else []
     if not words:
         return np.zeros(0, np.int64)
     one = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
@@ -135,24 +134,29 @@ def gram_bins(text: str | None, bins: int) -> np.ndarray:
     return np.concatenate([one, two]).astype(np.int64) % bins
 
 
-def ngram_ratio(df: DataFrame, id: str, text: str, trusted: str, bins: int = BINS) -> DataFrame:
+def ngram_ratio(df: DataFrame, id: str, text: str, trusted: str | float, bins: int = BINS) -> DataFrame:
     """``id``, ``grams``, ``llr``, ``kept``: hashed n-gram log-likelihood ratio of each document.
 
-    ``trusted`` is a boolean column (null counts as false) that marks the target documents; the
-    raw multinomial is that of all rows. Words and word pairs are hashed into ``bins``, the target's
-    counts smoothed by ``PRIOR`` n-grams of the raw multinomial. ``llr`` is divided by the number of n-grams, 0 for a text without words;
-    a document is ``kept`` at 0 or more. Counting sends at most ``bins`` rows per task and to
-    the driver, scoring a table of ``bins`` numbers to each task.
+    ``trusted`` marks the target documents: a boolean column (null counts as false), or the
+    largest repeated share of a text that may count. The raw multinomial is that of all rows.
+    Words and word pairs are hashed into ``bins``; the target's counts are smoothed by ``PRIOR``
+    n-grams of the raw multinomial. ``llr`` is divided by the number of n-grams, 0 for a text
+    without words; a document is ``kept`` at 0 or more. Repeated rows count each time, an empty
+    table gives none. Texts are read twice and never shuffled: counting sends at most ``bins``
+    rows per task and to the driver, scoring a table of ``bins`` numbers to each task.
     """
-    rows = df.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{trusted}`"), F.lit(False)).alias("trusted"), F.col(f"`{text}`").alias("text"))
+    by_column = isinstance(trusted, str)
+    good = F.coalesce(F.col(f"`{trusted}`"), F.lit(False)) if by_column else F.lit(False)
+    rows = df.select(F.col(f"`{id}`").alias("id"), good.alias("trusted"), F.col(f"`{text}`").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, bins), np.int64)
         for batch in batches:
-            for good, text in zip(batch.column(0), batch.column(1)):
-                one = np.bincount(gram_bins(text.as_py(), bins), minlength=bins)
+            for mark, value in zip(batch.column(0), batch.column(1)):
+                words = words_of(value.as_py() or "")
+                one = np.bincount(gram_bins(words, bins), minlength=bins)
                 sums[0] += one
-                if good.as_py():
+                if mark.as_py() if by_column else repeated_words(words) <= trusted * len(words):
                     sums[1] += one
         used = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0][used]), pa.array(sums[1][used])], names=["bin", "raw", "target"])
@@ -168,7 +172,7 @@ def ngram_ratio(df: DataFrame, id: str, text: str, trusted: str, bins: int = BIN
     ratio[seen] = np.log((target[seen] + PRIOR * part) / (target.sum() + PRIOR)) - np.log(part)
 
     def work(value: str | None) -> tuple[int, float]:
-        at = gram_bins(value, bins)
+        at = gram_bins(words_of(value or ""), bins)
         return len(at), float(ratio[at].mean()) if len(at) else 0.0
 
     return _texts(rows, ["id"], "text", work, "grams bigint, llr double").withColumn("kept", F.col("llr") >= 0).withColumnRenamed("id", id)

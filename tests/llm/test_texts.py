@@ -159,3 +159,6 @@ def test_ngram_ratio_prefers_what_is_trusted(spark):
     assert len(rows) == 41 and rows[99]["llr"] == 0 and rows[99]["kept"]
     assert rows[1]["llr"] > 0 > rows[0]["llr"]
     assert repetition.ngram_ratio(df.limit(0), "id", "text", "good").count() == 0
+    spam = spark.createDataFrame([(i, "green apples grow slowly" if i % 2 else "buy cheap pills now " * 9) for i in range(40)], "id long, text string")
+    found = {r["id"]: r["kept"] for r in repetition.ngram_ratio(spam, "id", "text", 0.1).collect()}
+    assert all(found[i] == (i % 2 == 1) for i in range(40))
