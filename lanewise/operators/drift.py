@@ -33,53 +33,68 @@ def cells(line: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1)), clean)
 
 
+def has_content(line: Column) -> Column:
+    """Whether some cell isn't empty; nearly always settled without parsing the line."""
+    return line.rlike('[^,"\\s\ufeff\u00a0]') | F.exists(cells(line), lambda c: c != "")
+
+
+def level(cell: Column) -> Column:
+    """Place of a cell in TYPES, null for an empty one."""
+    return F.when(cell.rlike(r"^[0-9]+\z"), 0).when(cell.rlike(r"^[0-9]+\.[0-9]+\z"), 1).when(cell != "", 2)
+
+
 @dataclass
 class Sheets:
-    rows: DataFrame  # sheet_id, line_no, cells, header
-    headers: DataFrame  # sheet_id, header (array)
+    lines: DataFrame  # sheet_id, line_no, line: all lines
+    headers: DataFrame  # sheet_id, head_no, end, header (array)
+
+    def rows(self, once: bool = False) -> DataFrame:
+        """sheet_id, line_no, line, header of the data rows; with ``once`` a line delivered again counts once."""
+        lines = self.lines.groupBy("sheet_id", "line_no").agg(F.max("line").alias("line")) if once else self.lines
+        return lines.join(self.headers, "sheet_id").filter("line_no > head_no and (end is null or line_no < end)").filter(has_content(F.col("line"))).select("sheet_id", "line_no", "line", "header")
+
+    def fields(self) -> DataFrame:
+        """sheet_id, pos (from 0), field; of equal headers in a sheet the first."""
+        every = self.headers.select("sheet_id", "header", F.posexplode("header").alias("pos", "field"))
+        return every.filter((F.col("field") != "") & (F.array_position("header", F.col("field")) == F.col("pos") + 1)).drop("header")
 
 
 def data_sections(lines: DataFrame) -> Sheets:
     """Header and rows of the first data section of each sheet; other sections are left out.
 
-    ``lines``: sheet_id, line_no, line. Lines delivered twice count once (of different texts
-    for one number the greater), order is that of ``line_no``, lines with a null anywhere and
-    those without a non-empty cell are ignored. The section ends at the next one or with the sheet.
-    Its borders come from the few section lines, by grouped minima, so that no sheet has to
-    pass through a single task.
+    ``lines``: sheet_id, line_no, line. Order is that of ``line_no``; lines with a null anywhere
+    and those without a non-empty cell are ignored. The section ends at the next one or with
+    the sheet. Its borders come from the few section lines, by grouped minima, so that no sheet
+    has to pass through a single task. Lines delivered twice are no matter for headers, types
+    and names; of different texts for one number the smaller is the header.
     """
     known = lines.select("sheet_id", "line_no", "line").na.drop()
-    once = known.groupBy("sheet_id", "line_no").agg(F.max("line").alias("line"))
-    parsed = checkpointed(once.select("sheet_id", "line_no", cells(F.col("line")).alias("cells")).filter(F.exists("cells", lambda c: c != "")))
-    first = F.col("cells")[0]
-    marks = parsed.filter(first.startswith("[") & first.endswith("]")).select("sheet_id", "line_no", first.isin(*DATA_SECTIONS).alias("data"))
+    first = F.get(cells(F.col("line")), F.lit(0))
+    marks = known.filter(F.col("line").contains("[")).select("sheet_id", "line_no", first.alias("mark")).filter(F.col("mark").startswith("[") & F.col("mark").endswith("]"))
+    marks = checkpointed(marks.select("sheet_id", "line_no", F.col("mark").isin(*DATA_SECTIONS).alias("data")))
     starts = marks.filter("data").groupBy("sheet_id").agg(F.min("line_no").alias("start"))
     ends = marks.join(starts, "sheet_id").filter("line_no > start").groupBy("sheet_id").agg(F.min("line_no").alias("end"))
     borders = starts.join(ends, "sheet_id", "left")
-    inside = parsed.join(borders, "sheet_id").filter("line_no > start and (end is null or line_no < end)").select("sheet_id", "line_no", "cells")
-    heads = checkpointed(inside.groupBy("sheet_id").agg(F.min("line_no").alias("head_no"), F.min_by("cells", "line_no").alias("header")))
-    rows = inside.join(heads, "sheet_id").filter("line_no > head_no").drop("head_no")
-    return Sheets(rows, heads.select("sheet_id", "header"))
+    inside = known.join(borders, "sheet_id").filter("line_no > start and (end is null or line_no < end)").filter(has_content(F.col("line")))
+    heads = inside.groupBy("sheet_id").agg(F.min(F.struct("line_no", "line")).alias("head"), F.max("end").alias("end"))
+    return Sheets(known, checkpointed(heads.select("sheet_id", F.col("head.line_no").alias("head_no"), "end", cells(F.col("head.line")).alias("header"))))
 
 
-def long_cells(sheets: Sheets) -> DataFrame:
-    """``sheet_id``, ``line_no``, ``sample``, ``field``, ``cell``: one row per row and header.
+def column_types(sheets: Sheets) -> DataFrame:
+    """``sheet_id``, ``pos``, ``field``, ``level`` (place in TYPES, null without values), ``size`` (longest cell) of each header.
 
-    A row shorter than the header has empty cells; of equal headers in a sheet the first counts.
+    Cells become levels before they are spread over rows; what is shuffled is one row per sheet and column of a task.
     """
-    at = F.array_position("header", KEY)
-    sample = F.when(at > 0, F.coalesce(F.get("cells", (at - 1).cast("int")), F.lit("")))
-    every = sheets.rows.select("sheet_id", "line_no", "cells", "header", sample.alias("sample"), F.posexplode("header").alias("pos", "field"))
-    return every.filter((F.col("field") != "") & (F.array_position("header", F.col("field")) == F.col("pos") + 1)).select(
-        "sheet_id", "line_no", "sample", "field", F.coalesce(F.get("cells", F.col("pos")), F.lit("")).alias("cell"))
+    each = F.transform(cells(F.col("line")), lambda c: F.struct(level(c).alias("level"), F.length(c).alias("size")))
+    found = sheets.rows().select("sheet_id", F.posexplode(each).alias("pos", "c"))
+    levels = found.groupBy("sheet_id", "pos").agg(F.max("c.level").alias("level"), F.max("c.size").alias("size"))
+    return sheets.fields().join(levels, ["sheet_id", "pos"], "left")
 
 
-def column_types(sheets: Sheets, every: DataFrame) -> DataFrame:
-    """``sheet_id``, ``field``, ``level`` (place in TYPES, null without values) of each header."""
-    full = F.when(F.col("cell") != "", F.when(F.col("cell").rlike(r"^[0-9]+\z"), 0).when(F.col("cell").rlike(r"^[0-9]+\.[0-9]+\z"), 1).otherwise(2))
-    levels = every.groupBy("sheet_id", "field").agg(F.max(full).alias("level"))
-    names = sheets.headers.select("sheet_id", F.explode(F.array_distinct("header")).alias("field")).filter(F.col("field") != "")
-    return names.join(levels, ["sheet_id", "field"], "left")
+def long_cells(sheets: Sheets) -> DataFrame:
+    """``sheet_id``, ``line_no``, ``field``, ``cell``: one row per data row and header; cells that a row lacks are empty."""
+    rows = sheets.rows(once=True).select("sheet_id", "line_no", cells(F.col("line")).alias("cells"))
+    return rows.join(sheets.fields(), "sheet_id").select("sheet_id", "line_no", "field", F.coalesce(F.get("cells", F.col("pos")), F.lit("")).alias("cell"))
 
 
 def previous_sheets(files: DataFrame) -> DataFrame:
@@ -96,29 +111,33 @@ def previous_sheets(files: DataFrame) -> DataFrame:
     return inner.join(carried, ["instrument", "month"]).select("sheet_id", "instrument", "issued_at", F.coalesce("previous", "carried").alias("previous")).filter("previous is not null")
 
 
-def renames(every: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
+def renames(sheets: Sheets, new: DataFrame, gone: DataFrame) -> DataFrame:
     """``sheet_id``, ``field``, ``old``: new and gone headers with the same cells for every sample of both sheets.
 
-    new: sheet_id, previous, field; gone: sheet_id, previous, old. Each side's set of distinct
-    (sample, cell) pairs, over the samples of both sheets, is reduced to a 128-bit fingerprint
-    and its size; equal ones are joined, so no pairs of headers are formed.
+    new: sheet_id, previous, field, pos; gone: sheet_id, previous, field, pos (in ``previous``).
+    Only sheets that have both are read. Each side's set of distinct (sample, cell) pairs, over
+    the samples of both sheets, is reduced to a 128-bit fingerprint; equal ones are joined, so
+    no pairs of headers are formed. Cells are hashed when they are read, and the samples of a
+    pair of sheets spread over tasks.
     """
-    both = new.select("sheet_id", "previous").distinct().join(gone.select("sheet_id").distinct(), "sheet_id", "left_semi")
-    samples = every.filter(F.col("sample") != "").select("sheet_id", "sample").distinct()
-    common = both.join(samples, "sheet_id").join(samples.withColumnRenamed("sheet_id", "previous"), ["previous", "sample"]).select("sheet_id", "previous", "sample")
-    here = every.join(new.select("sheet_id", "field"), ["sheet_id", "field"]).join(common.select("sheet_id", "sample"), ["sheet_id", "sample"])
-    before = (
-        every.withColumnsRenamed({"sheet_id": "previous", "field": "old"}).join(gone, ["previous", "old"])
-        .join(common.select("sheet_id", "sample"), ["sheet_id", "sample"])
-    )
-
-    def prints(rows: DataFrame, name: str) -> DataFrame:
-        distinct = rows.select("sheet_id", name, "sample", "cell").distinct()
-        return distinct.groupBy("sheet_id", name).agg(
-            F.bit_xor(F.xxhash64("sample", "cell")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "cell", "sample")).alias("h2"),
-            F.count("*").alias("n"), F.max(F.col("cell") != "").alias("full")).filter("full")
-
-    return prints(here, "field").join(prints(before, "old"), ["sheet_id", "h1", "h2", "n"]).select("sheet_id", "field", "old")
+    columns = F.collect_list(F.struct("field", "pos")).alias("columns")
+    after = new.groupBy("sheet_id", "previous").agg(columns)
+    before = gone.groupBy("sheet_id", "previous").agg(columns)
+    now = after.join(before.select("sheet_id"), "sheet_id").select(F.col("sheet_id").alias("pair"), "sheet_id", F.lit(1).alias("side"), "columns")
+    then = before.join(after.select("sheet_id"), "sheet_id").select(F.col("sheet_id").alias("pair"), F.col("previous").alias("sheet_id"), F.lit(0).alias("side"), "columns")
+    rows = sheets.rows().join(now.unionByName(then), "sheet_id")
+    place = F.array_position("header", KEY)
+    read = rows.filter(place > 0).select("pair", "side", "columns", cells(F.col("line")).alias("cells"), (place - 1).cast("int").alias("place"))
+    sampled = read.select("pair", "side", "cells", F.coalesce(F.get("cells", F.col("place")), F.lit("")).alias("sample"), F.explode("columns").alias("c")).filter("sample <> ''")
+    cell = F.coalesce(F.get("cells", F.col("c.pos")), F.lit(""))
+    distinct = sampled.select("pair", "side", "sample", "c.field", F.xxhash64(cell).alias("c1"), F.xxhash64(F.lit(1), cell).alias("c2"), (cell != "").alias("full")).distinct()
+    sets = distinct.groupBy("pair", "sample", "side", "field").agg(F.bit_xor("c1").alias("c1"), F.bit_xor("c2").alias("c2"), F.count("*").alias("n"), F.max("full").alias("full"))
+    shared = sets.groupBy("pair", "sample").agg(F.collect_list(F.struct("side", "field", "c1", "c2", "n", "full")).alias("sets"), F.min("side").alias("low"), F.max("side").alias("high")).filter("low < high")
+    prints = shared.select("pair", "sample", F.inline("sets")).groupBy("pair", "side", "field").agg(
+        F.bit_xor(F.xxhash64("sample", "c1", "n")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "c2", "sample")).alias("h2"), F.max("full").alias("full")).filter("full")
+    prints = checkpointed(prints)
+    old = prints.filter("side = 0").select("pair", "h1", "h2", F.col("field").alias("old"))
+    return prints.filter("side = 1").join(old, ["pair", "h1", "h2"]).select(F.col("pair").alias("sheet_id"), "field", "old")
 
 
 def changes(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -133,16 +152,16 @@ def changes(lines: DataFrame, files: DataFrame) -> DataFrame:
     return _changes(data_sections(lines), files)
 
 
-def _changes(sheets: Sheets, files: DataFrame) -> DataFrame:
-    every = long_cells(sheets)
-    kinds = checkpointed(column_types(sheets, every).filter(F.col("field") != KEY))
+def _changes(sheets: Sheets, files: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    kinds = (kinds or checkpointed(column_types(sheets))).filter(F.col("field") != KEY)
     order = checkpointed(previous_sheets(files))
-    now = order.join(kinds, "sheet_id").select("sheet_id", "previous", "field", "level", F.lit(True).alias("here"))
-    then = order.join(kinds.withColumnsRenamed({"sheet_id": "previous", "level": "old_level"}), "previous").select("sheet_id", "previous", "field", "old_level", F.lit(True).alias("there"))
+    now = order.join(kinds, "sheet_id").select("sheet_id", "previous", "field", "pos", "level", F.lit(True).alias("here"))
+    then = order.join(kinds.withColumnsRenamed({"sheet_id": "previous", "level": "old_level", "pos": "old_pos"}), "previous").select("sheet_id", "previous", "field", "old_pos", "old_level", F.lit(True).alias("there"))
     both = checkpointed(now.join(then, ["sheet_id", "previous", "field"], "full"))
-    new = both.filter("there is null").select("sheet_id", "previous", "field")
-    gone = both.filter("here is null").select("sheet_id", "previous", F.col("field").alias("old"))
-    named = checkpointed(renames(every, new, gone))
+    new = both.filter("there is null").select("sheet_id", "previous", "field", "pos")
+    gone = both.filter("here is null").select("sheet_id", "previous", "field", F.col("old_pos").alias("pos"))
+    named = checkpointed(renames(sheets, new, gone))
+    gone = gone.withColumnRenamed("field", "old")
     first = named.groupBy("sheet_id", "field").agg(F.min("old").alias("old"))
     name = F.element_at(F.array(*map(F.lit, TYPES)), F.col("level") + 1)
     was = F.element_at(F.array(*map(F.lit, TYPES)), F.col("old_level") + 1)
@@ -195,24 +214,22 @@ def sample_rows(lines: DataFrame, files: DataFrame) -> DataFrame:
     that ValueError, and ``long_cells`` gives the same in long form for any number.
     """
     sheets = data_sections(lines)
-    every = long_cells(sheets)
-    wide = F.max(F.length("cell"))
-    found = every.groupBy("field").agg(
-        F.max(F.when(F.col("cell") != "", F.when(F.col("cell").rlike(r"^[0-9]+\z"), 0).when(F.col("cell").rlike(r"^[0-9]+\.[0-9]+\z"), 1).otherwise(2))).alias("level"),
-        wide.alias("size")).limit(MOST_HEADERS + 1).collect()
+    kinds = checkpointed(column_types(sheets))
+    found = kinds.groupBy("field").agg(F.max("level").alias("level"), F.max("size").alias("size")).limit(MOST_HEADERS + 1).collect()
     if len(found) > MOST_HEADERS:
         raise ValueError(f"more than {MOST_HEADERS} different headers; use long_cells")
-    links = [(r[0], r[1]) for r in _changes(sheets, files).filter("change = 'renamed'").select("before", "after").distinct().collect()]
+    links = [(r[0], r[1]) for r in _changes(sheets, files, kinds).filter("change = 'renamed'").select("before", "after").distinct().collect()]
     standing = classes([r["field"] for r in found], links)
-    level: dict[str, int] = {}
+    levels: dict[str, int] = {}
     for r in found:
         n = 2 if r["level"] == 0 and r["size"] > 18 else r["level"]
-        level[standing[r["field"]]] = max(level.get(standing[r["field"]], -1), -1 if n is None else n)
+        levels[standing[r["field"]]] = max(levels.get(standing[r["field"]], -1), -1 if n is None else n)
     out = []
-    for name in sorted(level, key=lambda n: (PREFERRED.index(n) if n in PREFERRED else len(PREFERRED), n)):
+    for name in sorted(levels, key=lambda n: (PREFERRED.index(n) if n in PREFERRED else len(PREFERRED), n)):
         at = [F.array_position("header", n) for n, s in sorted(standing.items()) if s == name]
         values = [F.when(a > 0, F.nullif(F.get("cells", (a - 1).cast("int")), F.lit(""))) for a in at]
-        kind = {0: "bigint", 1: "double"}.get(level[name], "string")
+        kind = {0: "bigint", 1: "double"}.get(levels[name], "string")
         alias = name + "_" if name.lower() in ("sheet_id", "line_no") else name
         out.append(F.coalesce(*values, F.lit(None).cast("string")).cast(kind).alias(alias))
-    return sheets.rows.select("sheet_id", "line_no", *out)
+    rows = sheets.rows(once=True).select("sheet_id", "line_no", "header", cells(F.col("line")).alias("cells"))
+    return rows.select("sheet_id", "line_no", *out)
