@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.functions import encode, fuzzy, masks, names
+from lanewise.functions import encode, masks, names
 from lanewise.operators import mixing, ncontent, rewind, search, sheets, synth
 from lanewise.schema import FILE
 from lanewise.sources import files
@@ -194,9 +194,3 @@ def expand_patterns(pattern: str | None, path: str | None, spark: SparkSession)
 
     return [pattern] if pattern else read_patterns(spark, path)
 
-
-def check_patterns(spark: SparkSession, patterns: list[str], distance: int) -> int:
-    """The distance that keeps patterns apart; only for those that can be expanded."""
-    for p in patterns:
-        fuzzy.expand(p)
-    return search.safe_distance(spark, patterns, distance)

@@ -14,7 +14,7 @@ from lanewise.functions import encode, fuzzy, masks, names
 from lanewise.operators import mixing, ncontent, rewind, search, sheets, synth
 from lanewise.plans.views import sql, view
 from lanewise.runtime import ensure_checkpoint_dir
-from lanewise.schema import FILE, READ
+from lanewise.schema import FILE
 from lanewise.sources import files, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -582,6 +582,13 @@ def cbcl_files(spark, d):
     return rewind.cycle_files(rewind.cycle_blocks(_clusters(spark, d), CYCLES))
 
 
+@query()
+def rewind_files(spark, d):
+    """The whole way from pairs of reads to the files of each cycle."""
+    merged = rewind.merge_paired(rewind.with_recipe(_pairs(spark, d), _recipes(spark, d)))
+    return rewind.cycle_files(rewind.cycle_blocks(rewind.located(merged), 120))
+
+
 @query("select lane, sample, pos, name from {mates} m where mate = 1 order by lane, sample, pos limit 1")
 def first_read(spark, d):
     return rewind.first_read(view(spark, d, "mates").filter("mate = 1").select("lane", "sample", "pos", "name"))
