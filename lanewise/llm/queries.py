@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lanewise.llm import bpe, heavy, mixture, repetition, reservoir, topn
 from lanewise.runtime import table
@@ -51,7 +52,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition(table(spark, sf_dir, "documents"))
+    rows = repetition.repetition(table(spark, sf_dir, "documents"))
+    return rows.withColumns({"share": F.round("share", 9), "llr": F.round("llr", 9)})
 
 
 def p8_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
