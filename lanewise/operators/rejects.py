@@ -11,7 +11,6 @@ FIELDS = ("read_no", "name", "sequence", "quality", "sample")
 #: Possessive, so that long fields are matched in a loop and not by recursion.
 FIELD = '(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
 QUOTED = rf"^{FIELD}(?:,{FIELD})*+\z"
-FIVE = "^" + ",".join([f"({FIELD})"] * len(FIELDS)) + r"\z"
 BARCODE = r"[ACGTN]+(?:\+[ACGTN]+)?"
 NAME = rf"^([A-Za-z0-9]{{3,}}):([0-9]+):([A-Za-z0-9]+):([1-8]):([12][1-4][01][0-9]):([0-9]+):([0-9]+)(?::({BARCODE}))? ([12]):([YN]):([0-9]+):({BARCODE})\z"
 #: What a value of each column must match by itself.
@@ -24,11 +23,19 @@ def unquoted(field: Column) -> Column:
     return F.when(field.startswith('"'), F.replace(field.substr(F.lit(2), F.length(field) - 2), F.lit('""'), F.lit('"'))).otherwise(field)
 
 
-def structure(line: Column) -> tuple[Column, Column]:
-    """The structural reason of a line, or null, and its fields as a struct (null unless there are five)."""
-    fields = F.when(line.rlike(FIVE), F.struct(*[unquoted(F.regexp_extract(line, FIVE, i + 1)).alias(f) for i, f in enumerate(FIELDS)]))
-    reason = F.when(line.isNull(), "columns").when(~line.rlike(QUOTED), "quoting").when(~line.rlike(FIVE), "columns")
-    return reason, fields
+def structure(df: DataFrame, line: str, parts: str, fields: str, reason: str) -> DataFrame:
+    """``df`` with the fields of each line as a struct (null unless there are five), and the structural reason or null.
+
+    The line is matched once and taken apart once; a comma put before it keeps every match of a
+    field from being empty. The parts are a projection of their own, so that they aren't
+    computed again for each field.
+    """
+    text = F.col(f"`{line}`")
+    split = F.when(text.rlike(QUOTED), F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(f",({FIELD})"), F.lit(1)))
+    five = F.size(parts) == len(FIELDS)
+    struct = F.struct(*[unquoted(F.get(parts, F.lit(i))).alias(f) for i, f in enumerate(FIELDS)])
+    broken = F.when(text.isNull(), "columns").when(F.col(parts).isNull(), "quoting").when(~five, "columns")
+    return df.withColumn(parts, split).withColumns({fields: F.when(five, struct), reason: broken}).drop(parts)
 
 
 def _print(*of: Column) -> list[Column]:
@@ -63,11 +70,9 @@ def judge(df: DataFrame, line: str = "line", broadcast_bytes: int = BROADCAST_BY
     values are joined to it by 128-bit hashes, and the bad lines found are joined to the rows
     by the hash of the line; both are sort-merge joins whose hot keys AQE splits.
     """
-    named = {x: fresh_name(df, x) for x in ("fields", "reason", "detail", "__a", "__b")}
-    fields, reason, detail, a, b = named.values()
+    fields, reason, detail, a, b, parts = (fresh_name(df, x) for x in ("fields", "reason", "detail", "__a", "__b", "__parts"))
     text = F.col(f"`{line}`")
-    broken, parsed = structure(text)
-    rows = df.withColumns({fields: parsed, reason: broken})
+    rows = structure(df, line, parts, fields, reason)
     words = checkpointed(value_dictionary(rows, fields))
     size = words.agg(F.coalesce(F.sum(F.octet_length("value") + F.octet_length("detail") + F.octet_length("field") + 32), F.lit(0)).cast("bigint")).first()[0]
     if size <= broadcast_bytes:
