@@ -29,10 +29,12 @@ def tile_coordinates(name: Column) -> Column:
     return F.when(tile.isNotNull() & x.isNotNull() & y.isNotNull(), F.struct(tile.alias("tile"), x.alias("x"), y.alias("y")))
 
 
-def read_name_fields(name: Column, strict: bool = True) -> Column:
-    """Struct of the thirteen parts; absent umi and comment are null. A name of another form raises, or gives null if not strict."""
+def read_name_fields(name: Column, strict: bool = True, only: tuple[str, ...] | None = None) -> Column:
+    """Struct of the thirteen parts, or of those in ``only``; absent umi and comment are null. A name of another form raises, or gives null if not strict."""
     parts = []
     for i, (field, kind) in enumerate(READ_NAME_FIELDS, start=1):
+        if only and field not in only:
+            continue
         part = F.nullif(F.regexp_extract(name, READ_NAME, i), F.lit(""))
         parts.append((part.cast(kind) if kind != "string" else part).alias(field))
     whole = F.when(name.rlike(READ_NAME), F.struct(*parts))

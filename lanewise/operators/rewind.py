@@ -74,7 +74,7 @@ def merge_paired(pairs: DataFrame, single_umi_first: bool = True) -> DataFrame:
 
 def located(reads: DataFrame) -> DataFrame:
     """Reads with tile, x and y from their names; unknown forms raise."""
-    at = names.read_name_fields(F.col("name"))
+    at = names.read_name_fields(F.col("name"), only=("tile", "x", "y"))
     return reads.withColumn("at", at).select(*reads.columns, "at.tile", "at.x", "at.y")
 
 
