@@ -16,7 +16,11 @@ def ship(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         package = Path(__file__).resolve().parent
-        archive = Path(tempfile.mkdtemp(prefix="lanewise-")) / "lanewise.zip"  # read here; Spark serves it
+        shared = (sc.getCheckpointDir() or "").removeprefix("file:")
+        # only the driver reads it, and serves it to the executors
+        base = Path("/" + shared.lstrip("/")) if shared.startswith("/") else Path(tempfile.mkdtemp(prefix="lanewise-"))
+        base.mkdir(parents=True, exist_ok=True)
+        archive = base / "lanewise.zip"
         with zipfile.ZipFile(archive, "w") as out:
             for file in sorted(package.rglob("*.py")):
                 out.write(file, file.relative_to(package.parent))
