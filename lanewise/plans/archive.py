@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lanewise.operators import drift, rejects
 from lanewise.runtime import table
@@ -21,10 +22,14 @@ def p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_changes(spark, sf_dir).select("sheet_id", "field", "change")
+    return _changes(spark, sf_dir).select("sheet_id", "field", "change")
 
 
 def p5_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changes(spark, sf_dir).withColumn("issued_at", F.unix_micros("issued_at")).withColumnRenamed("issued_at", "issued_us")
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(table(spark, sf_dir, "sheet_lines"), table(spark, sf_dir, "sheet_files"))
 
 
@@ -32,7 +37,26 @@ def p5_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.sample_rows(table(spark, sf_dir, "sheet_lines"), table(spark, sf_dir, "sheet_files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_rows, p5_found, p5_changes, p5_rows)}
+def p5_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each row of the common table holds, whatever its columns are called: to be compared with the lines themselves."""
+    rows = p5_rows(spark, sf_dir)
+    kinds = dict(rows.dtypes[2:])
+    numbers = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c, k in kinds.items() if k != "string"]
+    texts = F.filter(F.array(*[F.col(f"`{c}`") for c, k in kinds.items() if k == "string"]), lambda c: c.isNotNull())
+    plain = lambda c: c.rlike(r"^[0-9]+(\.[0-9]+)?\z")
+    total = F.aggregate(F.filter("texts", plain), F.lit(0.0), lambda a, c: a + c.cast("double"))
+    count = F.size("texts")
+    for c, k in kinds.items():
+        if k != "string":
+            count = count + F.col(f"`{c}`").isNotNull().cast("int")
+    for n in numbers:
+        total = total + n
+    return rows.withColumn("texts", texts).select(
+        "sheet_id", "line_no", "Sample_ID", count.cast("bigint").alias("cells"), F.round(total, 4).alias("numbers"),
+        F.array_join(F.array_sort(F.filter("texts", lambda c: ~plain(c))), "|").alias("words"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_rows, p5_found, p5_changes, p5_rows, p5_cells)}
 
 FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
 FIVE = ",".join([f"({FIELD})"] * 5)
@@ -61,7 +85,7 @@ select raw_id, cast(v[1] as decimal(38, 0)) as read_no, v[2] as name, {part(1, 1
 from v
 """
 BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(65279)"
-CHANGES = f"""
+CELLS = f"""
 with outer_ as (select distinct sheet_id, line_no, [trim(c, {BLANK}) for c in regexp_extract_all(',' || line, ',(\\s*"(?:[^"]|"")*"\\s*|[^,]*)', 1)] as c
   from sheet_lines where sheet_id is not null and line_no is not null and line is not null),
 p as (select sheet_id, line_no, [case when length(x) >= 2 and starts_with(x, '"') and ends_with(x, '"') then trim(replace(substring(x, 2, length(x) - 2), '""', '"'), {BLANK}) else x end for x in c] as c from outer_),
@@ -71,11 +95,13 @@ d as (select sheet_id, min(section) as section from w where mark and c[1] in ('[
 inside as (select w.*, row_number() over (partition by w.sheet_id order by line_no) as n from w join d on w.sheet_id = d.sheet_id and w.section = d.section where not mark),
 head as (select sheet_id, c as header from inside where n = 1),
 f as (select sheet_id, header, header[pos] as field, pos from (select *, unnest(range(1, len(header) + 1)) as pos from head) h where header[pos] <> '' and list_position(header, header[pos]) = pos),
-cell as (select f.sheet_id, f.field, coalesce(i.c[f.pos], '') as v, coalesce(i.c[list_position(f.header, 'Sample_ID')], '') as sample
-  from f join inside i on i.sheet_id = f.sheet_id and i.n > 1),
+cell as (select f.sheet_id, i.line_no, f.field, coalesce(i.c[f.pos], '') as v, coalesce(i.c[list_position(f.header, 'Sample_ID')], '') as sample
+  from f join inside i on i.sheet_id = f.sheet_id and i.n > 1)
+"""
+CHANGES = f"""{CELLS},
 kind as (select f.sheet_id, f.field, max(case when regexp_full_match(v, '[0-9]+') then 0 when regexp_full_match(v, '[0-9]+[.][0-9]+') then 1 when v <> '' then 2 end) as k
   from f left join cell on f.sheet_id = cell.sheet_id and f.field = cell.field where f.field <> 'Sample_ID' group by 1, 2),
-pairs as (select * from (select sheet_id, lag(sheet_id) over (partition by instrument order by issued_at) as previous from sheet_files) l where previous is not null),
+pairs as (select * from (select sheet_id, instrument, issued_at, lag(sheet_id) over (partition by instrument order by issued_at) as previous from sheet_files) l where previous is not null),
 now_ as (select pairs.sheet_id, previous, field, k from pairs join kind on kind.sheet_id = pairs.sheet_id),
 then_ as (select pairs.sheet_id, previous, field, k from pairs join kind on kind.sheet_id = pairs.previous),
 new as (select n.* from now_ n where not exists (select 1 from then_ t where t.sheet_id = n.sheet_id and t.field = n.field)),
@@ -83,10 +109,19 @@ gone as (select t.* from then_ t where not exists (select 1 from now_ n where t.
 held as (select sheet_id, field, sample, list_sort(list(distinct v)) as held from cell where sample <> '' group by 1, 2, 3),
 named as (select new.sheet_id, new.field, gone.field as old from new join gone on new.sheet_id = gone.sheet_id
   join held a on a.sheet_id = new.sheet_id and a.field = new.field join held b on b.sheet_id = gone.previous and b.field = gone.field and a.sample = b.sample
-  group by 1, 2, 3 having bool_and(a.held = b.held) and bool_or(a.held <> ['']))
-select distinct sheet_id, field, 'renamed' as change from named
-union all select sheet_id, field, 'added' from new where not exists (select 1 from named m where m.sheet_id = new.sheet_id and m.field = new.field)
-union all select sheet_id, field, 'removed' from gone where not exists (select 1 from named m where m.sheet_id = gone.sheet_id and m.old = gone.field)
-union all select n.sheet_id, n.field, 'retyped' from now_ n join then_ t on n.sheet_id = t.sheet_id and n.field = t.field where n.k <> t.k
+  group by 1, 2, 3 having bool_and(a.held = b.held) and bool_or(a.held <> [''])),
+told as (select sheet_id, field, 'renamed' as change, min(old) as before, field as after from named group by 1, 2
+union all select sheet_id, field, 'added', null, null from new where not exists (select 1 from named m where m.sheet_id = new.sheet_id and m.field = new.field)
+union all select sheet_id, field, 'removed', null, null from gone where not exists (select 1 from named m where m.sheet_id = gone.sheet_id and m.old = gone.field)
+union all select n.sheet_id, n.field, 'retyped', ['integer', 'decimal', 'text'][t.k + 1], ['integer', 'decimal', 'text'][n.k + 1] from now_ n join then_ t on n.sheet_id = t.sheet_id and n.field = t.field where n.k <> t.k)
+"""
+ROW_CELLS = f"""{CELLS}
+select sheet_id, line_no, max(sample) as "Sample_ID", count(*) as cells, round(coalesce(sum(case when regexp_full_match(v, '[0-9]+([.][0-9]+)?') then try_cast(v as double) end), 0), 4) as numbers,
+  coalesce(string_agg(v, '|' order by v) filter (where not regexp_full_match(v, '[0-9]+([.][0-9]+)?')), '') as words
+from cell where v <> '' group by 1, 2
 """
-ORACLE = {"p1_found": f"select raw_id from ({REJECTS})", "p1_rejects": REJECTS, "p1_rows": ROWS, "p5_found": CHANGES}
+ORACLE = {
+    "p1_found": f"select raw_id from ({REJECTS})", "p1_rejects": REJECTS, "p1_rows": ROWS, "p5_cells": ROW_CELLS,
+    "p5_found": f"{CHANGES} select sheet_id, field, change from told",
+    "p5_changes": f"{CHANGES} select told.sheet_id, instrument, epoch_us(issued_at) as issued_us, previous, field, change, before, after from told join pairs on told.sheet_id = pairs.sheet_id",
+}

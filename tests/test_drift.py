@@ -134,3 +134,25 @@ def test_rows_of_renamed_columns_meet(spark):
 @pytest.mark.parametrize(("names", "links", "want"), [(["a", "B", "b"], [], {"a": "a", "B": "B", "b": "B"}), (["x", "index2"], [("x", "index2")], {"x": "index2", "index2": "index2"})])
 def test_standing_names(names, links, want):
     assert drift.classes(names, links) == want
+
+
+def test_headers_side_by_side_keep_their_cells(spark):
+    lines = [(1, 1, "[Data]"), (1, 2, "Sample_ID,X"), (1, 3, "a,T"), (2, 1, "[Data]"), (2, 2, "Sample_ID,Y"), (2, 3, "a,T"),
+             (3, 1, "[Data]"), (3, 2, "Sample_ID,X,Y"), (3, 3, "s9,left,right"), (4, 1, "[Data]"), (4, 2, "note,Sample_ID,Note"), (4, 3, "1,b,z"), (5, 1, "[Data]"), (5, 2, "Y,NOTE"), (5, 3, "u,v")]
+    a = spark.createDataFrame(lines, "sheet_id long, line_no int, line string")
+    b = spark.createDataFrame([(1, "M", day(1)), (2, "M", day(2)), (3, "N", day(3)), (5, "P", day(3))], "sheet_id long, instrument string, issued_at timestamp")
+    rows = drift.sample_rows(a, b)
+    assert sorted(c.lower() for c in rows.columns) == ["line_no", "note", "note_", "sample_id", "sheet_id", "x", "y"]
+    got = {r["sheet_id"]: r for r in rows.collect()}
+    assert (got[1]["X"], got[2]["X"], got[2]["Y"]) == ("T", "T", None)  # renamed at this instrument
+    assert (got[3]["X"], got[3]["Y"]) == ("left", "right")
+    assert sorted(str(v) for v in tuple(got[4])[2:] if v is not None) == ["1", "b", "z"]
+    assert got[5]["X"] == "u" and got[5]["Y"] is None and "v" in tuple(got[5])
+    cells = drift.long_cells(drift.data_sections(a)).filter("cell <> ''").count()
+    assert cells == sum(v is not None for r in got.values() for v in tuple(r)[2:])
+
+
+def test_classes_keep_apart_what_stands_together():
+    names, links = ["a", "b", "c", "d"], [("a", "b"), ("b", "c"), ("c", "d")]
+    assert drift.classes(names, links, [["a", "c"]]) == {"a": "a", "b": "a", "c": "c", "d": "c"}
+    assert drift.classes(["n", "N"], [], [["n", "N"]]) == {"n": "n", "N": "N"}
