@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 FIELDS = ("U1", "R1B", "R1", "R1A", "I1B", "I1", "I1A", "U2", "I2B", "I2", "I2A", "R2B", "R2", "R2A")
@@ -37,23 +37,11 @@ def parse_mask(mask: Column) -> Column:
     return F.when(F.size(segments) > MOST_SEGMENTS, F.raise_error(F.concat(F.lit("mask of more than four parts: "), mask))).when(mask.isNotNull(), whole)
 
 
-def parse(mask: str) -> dict[str, int]:
-    """The same of a single text, on the driver."""
-    import re
-
-    segments = mask.upper().split(";")
-    if len(segments) > MOST_SEGMENTS:
+def parsed(spark: SparkSession, mask: str) -> dict[str, int]:
+    """The cycle numbers of one mask, for options of the command line."""
+    if mask.count(";") >= MOST_SEGMENTS:
         raise ValueError(f"mask of more than four parts: {mask}")
-    out = dict.fromkeys(FIELDS, 0)
-    for s, segment in enumerate(segments):
-        kind = ("R" if "Y" in segment else "I") + str(s // 2 + 1)
-        for letter, number in re.findall("([A-Z]+)([0-9]+)", segment):
-            if letter == "U":
-                place = "U2" if out["U1"] else "U1"
-            else:
-                place = kind if letter in ("Y", "I") else kind + ("A" if out[kind] else "B")
-            out[place] = int(number)
-    return out
+    return spark.range(1).select(parse_mask(F.lit(mask)).alias("m")).first()["m"].asDict()
 
 
 def fits(index: Column, cycles: Column) -> Column:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-READ_NAME = r"^([A-Za-z0-9]+):([0-9]+):([A-Za-z0-9]+):([0-9]+):([0-9]+):([0-9]+):([0-9]+)(?::([ACGTN]+)(?:\+([ACGTN]+))?)?(?: ([0-9]+):([YN]):([0-9]+):(\S*))?"
+#: Forms of a read name's parts: the seven fields before the blank, umis that may follow them, and the comment behind it.
+READ_NAME = "^[A-Za-z0-9_]+:[0-9]+:[A-Za-z0-9]+(?::[0-9]+){4}"
+UMIS = r"^[A-Z]+(?:\+[A-Z]+)?"
+COMMENT = r"^[0-9]+:[YN]:[0-9]+(?::|\z)"
 READ_NAME_FIELDS = (
     ("instrument", "string"), ("run_number", "int"), ("flowcell_id", "string"), ("lane", "int"), ("tile", "int"), ("x", "int"), ("y", "int"),
     ("umi1", "string"), ("umi2", "string"), ("read", "int"), ("is_filtered", "string"), ("control", "int"), ("barcode", "string"),
@@ -31,22 +34,22 @@ def tile_coordinates(name: Column) -> Column:
 
 def read_name_fields(name: Column, strict: bool = True, only: tuple[str, ...] | None = None) -> Column:
     """Struct of the thirteen parts, or of those in ``only``; absent umi and comment are null. A name of another form raises, or gives null if not strict."""
-    parts = []
-    for i, (field, kind) in enumerate(READ_NAME_FIELDS, start=1):
-        if only and field not in only:
-            continue
-        part = F.nullif(F.regexp_extract(name, READ_NAME, i), F.lit(""))
-        parts.append((part.cast(kind) if kind != "string" else part).alias(field))
+    core, comment = F.split(F.split_part(name, F.lit(" "), F.lit(1)), ":"), F.split_part(name, F.lit(" "), F.lit(2))
+    umi = F.split(F.nullif(F.regexp_extract(F.get(core, F.lit(7)), UMIS, 0), F.lit("")), r"\+")
+    told = F.when(comment.rlike(COMMENT), F.split(comment, ":"))
+    places = [F.get(core, F.lit(i)) for i in range(6)] + [F.regexp_extract(F.get(core, F.lit(6)), "^[0-9]+", 0), F.get(umi, F.lit(0)), F.get(umi, F.lit(1))] + [F.get(told, F.lit(i)) for i in range(4)]
+    parts = [F.nullif(c, F.lit("")).cast(kind).alias(field) for c, (field, kind) in zip(places, READ_NAME_FIELDS) if not only or field in only]
     whole = F.when(name.rlike(READ_NAME), F.struct(*parts))
     bad = F.raise_error(F.concat(F.lit("read name of an unknown form: "), F.coalesce(name, F.lit("null"))))
     return F.coalesce(whole, bad) if strict else whole
 
 
-def barcode(name: Column) -> Column:
-    """The last field of the part after the blank; a name without one raises."""
+def barcode(name: Column, strict: bool = True) -> Column:
+    """The last field of the part after the blank; a name without one raises, or gives null if not strict."""
     comment = F.split_part(name, F.lit(" "), F.lit(2))
-    return F.when(name.contains(" "), F.element_at(F.split(comment, ":"), -1)).otherwise(
-        F.raise_error(F.concat(F.lit("read name without barcode: "), F.coalesce(name, F.lit("null")))))
+    bad = F.raise_error(F.concat(F.lit("read name without barcode: "), F.coalesce(name, F.lit("null"))))
+    found = F.when(name.contains(" "), F.element_at(F.split(comment, ":"), -1))
+    return found.otherwise(bad) if strict else found
 
 
 def lane_of_file(file: Column) -> Column:

@@ -7,39 +7,45 @@ from pyspark.sql import functions as F
 
 POLY_G = "GGGG"
 TOP = 1000
-#: Different lengths of indexes that a sheet may have.
-MOST_LENGTHS = 64
 
 
 def barcode_counts(reads: DataFrame) -> DataFrame:
     """``file``, ``Lane``, ``Undetermined_Index``, ``Count``, ``first``: reads of each barcode, combined map-side; null barcodes don't count."""
-    return reads.filter("Undetermined_Index is not null").groupBy("file", "Lane", "Undetermined_Index").agg(F.count("*").alias("Count"), F.min("pos").alias("first"))
+    return every_count(reads).filter("Undetermined_Index is not null")
+
+
+def every_count(reads: DataFrame) -> DataFrame:
+    return reads.groupBy("file", "Lane", "Undetermined_Index").agg(F.count("*").alias("Count"), F.min("pos").alias("first"))
 
 
 def top_barcodes(reads: DataFrame, top: int = TOP) -> DataFrame:
-    """The ``top`` barcodes of each file with their share of all its reads (poly-G ones included, though never listed).
+    """The ``top`` barcodes of each file with their share of all its reads (poly-G ones and reads without barcode included, though never listed).
 
-    ``reads``: file, Lane, Undetermined_Index, pos. Ties go to the barcode seen first. Totals are
-    sums of the counts, so reads are shuffled once, as counts. The rank filter becomes a window
-    group limit before its exchange: a file sends at most ``top`` rows per task.
+    ``reads``: file, Lane, Undetermined_Index, pos. Ties go to the barcode seen first. Reads are
+    scanned and shuffled once, as counts: the totals are sums of the same counts, whose exchange
+    both branches read. So that it stays the same in both, what isn't listed is ranked last and
+    left out behind the window, and the totals ask for the first places too. The rank filter
+    becomes a window group limit before its exchange: a file sends at most ``top`` rows per task.
     """
-    counts = barcode_counts(reads)
-    totals = reads.groupBy("file").agg(F.count("*").alias("total"))
-    order = Window.partitionBy("file").orderBy(F.col("Count").desc(), "first", "Undetermined_Index")
-    best = counts.filter(~F.col("Undetermined_Index").contains(POLY_G)).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
-    return best.join(totals, "file").select("file", "Lane", "Undetermined_Index", "Count", (F.col("Count") / F.col("total")).alias("Fraction"))
+    counts = every_count(reads)
+    totals = counts.groupBy("file").agg(F.sum("Count").alias("total"), F.min("first").alias("begin"))
+    listed = F.coalesce(~F.col("Undetermined_Index").contains(POLY_G), F.lit(False))
+    order = Window.partitionBy("file").orderBy(F.col("listed").desc(), F.col("Count").desc(), "first", "Undetermined_Index")
+    best = counts.withColumn("listed", listed).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top).filter("listed")
+    share = F.when(F.col("begin").isNotNull() | F.col("total").isNotNull(), F.col("Count") / F.col("total"))
+    return best.join(totals, "file").select("file", "Lane", "Undetermined_Index", "Count", share.alias("Fraction"))
 
 
-def masked(text: Column, size: int) -> Column:
-    """Forms of a text of ``size`` characters with one replaced; texts that differ in one place share one."""
-    if not size:
-        return F.array(F.lit(""))
-    gap = F.lit("_")
-    return F.array(*[F.concat(F.substring(text, 1, p - 1), gap, text.substr(F.lit(p + 1), F.lit(size))) if p > 1 else F.concat(gap, text.substr(F.lit(2), F.lit(size))) for p in range(1, size + 1)])
+def masked(text: Column) -> Column:
+    """Forms of a text with one character replaced, the text itself if it is empty; texts of a length that differ in one place share one."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(F.transform(places, lambda p: F.concat(F.substr(text, F.lit(1), p - 1), F.lit("_"), F.substr(text, p + 1))))
 
 
-def _window_forms(text: Column, size: int):
-    return lambda at: masked(F.substr(text, at, F.lit(size)), size)
+def windows(text: Column, size: Column) -> Column:
+    """The parts of ``text`` of ``size`` characters, none if it is shorter."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.when(F.length(text) >= size, F.transform(places, lambda at: F.substr(text, at, size))).otherwise(F.array().cast("array<string>"))
 
 
 def within_one(text: Column, index: Column) -> Column:
@@ -63,17 +69,11 @@ def index_mixing(sheet: DataFrame, barcodes: DataFrame) -> DataFrame:
     """
     samples = sheet.filter("index1 is not null").groupBy("Lane", "Sample_Project", "index1", "index2").agg(F.count("*").alias("times"))
     found = barcodes.filter("Undetermined_Index is not null").groupBy("Lane", "Undetermined_Index", "Count", "Fraction").agg(F.count("*").alias("again"))
-    lengths = sorted(r[0] for r in samples.select(F.length("index1")).distinct().limit(MOST_LENGTHS + 1).collect())
-    if len(lengths) > MOST_LENGTHS:
-        raise ValueError(f"indexes of more than {MOST_LENGTHS} lengths")
-    index, text = F.col("index1"), F.col("Undetermined_Index")
-    keys, windows = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
-    for size in lengths:
-        keys = F.when(F.length(index) == size, masked(index, size)).otherwise(keys)
-        places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1 if size else F.lit(1))).otherwise(F.array().cast("array<int>"))
-        windows = F.concat(windows, F.transform(places, _window_forms(text, size)))
-    left = samples.select(F.col("Lane").alias("Lane_Project"), "Sample_Project", "index1", "index2", "times", F.explode(keys).alias("form"))
-    right = found.select("*", F.explode(F.array_distinct(F.flatten(windows))).alias("form"))
+    lengths = [r[0] for r in samples.select(F.length("index1")).distinct().collect()]
+    text = F.col("Undetermined_Index")
+    parts = F.flatten(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda size: windows(text, size)))
+    left = samples.select(F.col("Lane").alias("Lane_Project"), "Sample_Project", "index1", "index2", "times", F.explode(masked(F.col("index1"))).alias("form"))
+    right = found.select("*", F.explode(F.array_distinct(F.flatten(F.transform(parts, masked)))).alias("form"))
     pairs = right.join(left, (right["form"] == left["form"]) & (F.col("Lane") != F.col("Lane_Project"))).drop("form").distinct()
     fits = pairs.filter(F.col("index2").isNull() | within_one(text, F.col("index2")))
     copies = F.explode(F.array_repeat(F.lit(1), (F.col("times") * F.col("again")).cast("int"))).alias("one")
@@ -101,8 +101,8 @@ def by_lane(hits: DataFrame) -> DataFrame:
     return top.groupBy("Lane").agg(F.sum("top.Count").alias("Lane_Count"), F.sum("top.Fraction").alias("Lane_Fraction"))
 
 
-def undetermined(reads: DataFrame) -> DataFrame:
-    """Reads as the barcode operators take them: file, Lane, Undetermined_Index, pos."""
+def undetermined(reads: DataFrame, strict: bool = True) -> DataFrame:
+    """Reads as the barcode operators take them: file, Lane, Undetermined_Index, pos. A name without barcode raises, or has a null one if not strict."""
     from lanewise.functions import names
 
-    return reads.select("file", names.lane_of_file(F.col("file")).alias("Lane"), names.barcode(F.col("name")).alias("Undetermined_Index"), "pos")
+    return reads.select("file", names.lane_of_file(F.col("file")).alias("Lane"), names.barcode(F.col("name"), strict).alias("Undetermined_Index"), "pos")

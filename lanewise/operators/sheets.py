@@ -47,7 +47,7 @@ def read_section(text: str, markers: tuple[str, ...]) -> tuple[list[str], list[l
             else:
                 header = [c.strip() for c in cells]
     if not inside:
-        raise ValueError(f"could not find data section ({' or '.join(markers)}) in the sample sheet")
+        raise ValueError(f"the sheet has no section {' or '.join(markers)}")
     return header, rows
 
 
@@ -61,7 +61,7 @@ def read_sheet(spark: SparkSession, text: str, markers: tuple[str, ...] = DATA_M
     if missing:
         raise ValueError(f"sample sheet without required columns: {', '.join(missing)}")
     if not rows:
-        raise ValueError("No data rows in the sample sheet")
+        raise ValueError("the sheet names no samples")
     at = {c: header.index(c) for c in SHEET.names[1:] if c in header}
     cell = lambda r, c: r[at[c]] if c in at and at[c] < len(r) else None
     return spark.createDataFrame([(n, *[cell(r, c) for c in SHEET.names[1:]]) for n, r in enumerate(rows, start=1)], SHEET)

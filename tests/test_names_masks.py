@@ -39,6 +39,8 @@ def test_read_names(spark):
     assert got["c"] == dict(tile=2101, x=1000, y=2000) and got["b"] == "ACGT+TGCA"
     short = one(spark, f=names.read_name_fields(F.lit("VH1:12:FC1:3:2101:1:2")), c=names.tile_coordinates(F.lit("a-b:1:c:1:x:1:2")), d=names.tile_coordinates(F.lit("a:b")), n=names.tile_coordinates(F.lit(None).cast("string")))
     assert short["f"]["umi1"] is None and short["f"]["barcode"] is None and short["c"] is short["d"] is short["n"] is None
+    odd = one(spark, f=names.read_name_fields(F.lit("VH_1:12:FC1:3:2101:1:2:RST 2:Y:18:")))["f"]
+    assert (odd["instrument"], odd["y"], odd["umi1"], odd["umi2"], odd["read"], odd["is_filtered"], odd["control"], odd["barcode"]) == ("VH_1", 2, "RST", None, 2, "Y", 18, None)
     for bad in (names.read_name_fields(F.lit("nothing")), names.barcode(F.lit("VH1:1")), names.lane_of_file(F.lit("a_b_L1_c"))):
         with pytest.raises(Exception, match="USER_RAISED|form|barcode|lane"):
             one(spark, a=bad)
@@ -55,9 +57,9 @@ def test_masks(spark):
     df = spark.createDataFrame([(m,) for m in known] + [(None,)], "mask string")
     got = {r["mask"]: r["m"] and tuple(r["m"]) for r in df.select("mask", masks.parse_mask(F.col("mask")).alias("m")).collect()}
     assert got == known | {None: None}
-    assert all(tuple(masks.parse(m).values()) == v for m, v in known.items())
+    assert all(tuple(masks.parsed(spark, m).values()) == v for m, v in SAMPLE_MASKS.items())
     with pytest.raises(ValueError):
-        masks.parse("Y151;I10;I10;Y151;Y50")
+        masks.parsed(spark, "Y151;I10;I10;Y151;Y50")
     with pytest.raises(Exception, match="more than four"):
         one(spark, a=masks.parse_mask(F.lit("Y151;I10;I10;Y151;Y50")))
 
@@ -76,11 +78,11 @@ def test_sheet(spark, marker):
 
 
 def test_sheet_errors(spark):
-    with pytest.raises(ValueError, match="could not find"):
+    with pytest.raises(ValueError, match="no section"):
         sheets.read_sheet(spark, "[Header]\na,b\n")
     with pytest.raises(ValueError, match="Lane"):
         sheets.read_sheet(spark, "[Data]\nSample_ID,index\n1,2\n")
-    with pytest.raises(ValueError, match="No data"):
+    with pytest.raises(ValueError, match="no samples"):
         sheets.read_sheet(spark, "[Data]\nLane,Sample_Project,index\n")
     wrong = sheets.read_sheet(spark, DUAL.format(marker="[Data]").replace("GAACTGAGCG", "ACGT"))
     with pytest.raises(Exception, match="Index 1"):
