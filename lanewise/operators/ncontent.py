@@ -6,22 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.functions import names
+from lanewise.runtime import checkpointed
 
 
 def n_reads(reads: DataFrame) -> DataFrame:
-    """Reads with an ``N``, with their tile and coordinates, of files in which all of these can be told.
+    """``file``, ``pos``, ``tile``, ``x``, ``y``, ``cycles``: reads with an ``N``, with the places of all (from 0), of files in which their coordinates can be told.
 
-    A file with such a read whose name has no coordinates is left out whole.
+    A file with such a read whose name has no coordinates is left out whole. ``reads`` are
+    scanned once: what has an ``N`` is written to the shared folder, and files are judged there.
     """
-    some = reads.filter(F.col("sequence").contains("N")).select("file", "pos", "sequence", names.tile_coordinates(F.col("name")).alias("at"))
+    places = F.filter(F.transform(F.split("sequence", ""), lambda c, i: F.when(c == "N", i)), lambda i: i.isNotNull())
+    some = checkpointed(reads.filter(F.col("sequence").contains("N")).select("file", "pos", names.tile_coordinates(F.col("name")).alias("at"), places.alias("cycles")))
     bad = some.filter("at is null").select("file").distinct()
-    return some.join(bad, "file", "left_anti").select("file", "pos", "sequence", "at.tile", "at.x", "at.y")
+    return some.join(bad, "file", "left_anti").select("file", "pos", "at.tile", "at.x", "at.y", "cycles")
 
 
 def n_positions(reads: DataFrame) -> DataFrame:
     """One row for each ``N``: ``file``, ``tile``, ``x``, ``y``, ``cycle`` (from 0)."""
-    chars = n_reads(reads).select("file", "tile", "x", "y", F.posexplode(F.split("sequence", "")).alias("cycle", "base"))
-    return chars.filter("base = 'N'").drop("base")
+    return n_reads(reads).select("file", "tile", "x", "y", F.explode("cycles").alias("cycle"))
 
 
 def n_count_histogram(positions: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def n_by_cycle(positions: DataFrame) -> DataFrame:
 def filler(positions: DataFrame) -> DataFrame:
     """Every tile of a file with every cycle from 1 to the last that has an ``N``, at 0.
 
-    From one row per file with its tiles (their number is bounded by their four digits).
+    ``positions`` or their counts: file, tile, cycle. From one row per file with its tiles (their number is bounded by their four digits).
     """
     each = positions.groupBy("file").agg(F.collect_set("tile").alias("tiles"), F.max("cycle").alias("last"))
     cycles = F.when(F.col("last") >= 1, F.sequence(F.lit(1), F.col("last"))).otherwise(F.array().cast("array<int>"))
@@ -46,7 +48,8 @@ def filler(positions: DataFrame) -> DataFrame:
 
 def n_by_cycle_filled(positions: DataFrame) -> DataFrame:
     """Counts by cycle and tile, 0 where the grid has no ``N``."""
-    return n_by_cycle(positions).join(filler(positions), ["file", "cycle", "tile"], "full").select(
+    counts = checkpointed(n_by_cycle(positions))  # one row per file, cycle and tile
+    return counts.join(filler(counts), ["file", "cycle", "tile"], "full").select(
         "file", "cycle", "tile", F.coalesce("n_count", F.col("n_filler").cast("bigint")).alias("n_count"))
 
 

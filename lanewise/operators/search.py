@@ -6,13 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import fuzzy
+from lanewise.runtime import checkpointed, fresh_name
+from lanewise.schema import MATCH
+
+
+def found_in(sequence: Column, patterns: list[str], errors: int, kind: str) -> Column:
+    every = F.array(*[F.struct(F.lit(i).alias("pattern_no"), fuzzy.search(sequence, p, errors, kind).alias("m")) for i, p in enumerate(patterns, start=1)])
+    return F.filter(every, lambda f: f["m"].isNotNull())
 
 
 def matches(reads: DataFrame, patterns: list[str], errors: int = 0, kind: str = "s") -> DataFrame:
     """Each read with each pattern it matches: the reads' columns, ``pattern_no`` (from 1), ``errors``, ``captures``; one pass for all patterns."""
-    found = F.array(*[F.struct(F.lit(i).alias("pattern_no"), fuzzy.search(F.col("sequence"), p, errors, kind).alias("m")) for i, p in enumerate(patterns, start=1)])
-    return reads.withColumn("found", F.explode(found)).filter("found.m is not null").select(
-        *reads.columns, "found.pattern_no", "found.m.errors", "found.m.captures")
+    found = fresh_name(reads, "found")
+    return reads.withColumn(found, F.explode(found_in(F.col("sequence"), patterns, errors, kind))).select(
+        *reads.columns, f"{found}.pattern_no", f"{found}.m.errors", f"{found}.m.captures")
+
+
+def tally(reads: DataFrame, patterns: list[str], errors: int = 0, kind: str = "s") -> tuple[DataFrame, int]:
+    """The counts of ``match_counts`` and the number of all reads, from one pass: a read also counts for pattern 0."""
+    whole = F.array(F.struct(F.lit(0).alias("pattern_no"), F.lit(None).cast(MATCH).alias("m")))
+    each = reads.select("pos", F.explode(F.concat(whole, found_in(F.col("sequence"), patterns, errors, kind))).alias("f"))
+    counts = checkpointed(match_counts(each.select("pos", "f.pattern_no", "f.m.errors", "f.m.captures"), 1))
+    total = (counts.filter("pattern_no = 0").first() or {"cnt": 0})["cnt"]
+    return counts.filter("pattern_no > 0").withColumn("share", F.col("cnt") / F.lit(float(total or 1))), total
 
 
 def match_counts(found: DataFrame, total: int) -> DataFrame:

@@ -60,15 +60,11 @@ def n_report(spark: SparkSession, paths: list[str], output: Path) -> None:
 
 def search_report(spark: SparkSession, path: str, patterns: list[str], errors: int, kind: str) -> tuple[dict[int, list[str]], dict[int, list[str]]]:
     """Lines of matches and of errors for each pattern that matches anything; one pass over the reads."""
-    reads = files.read_sequences(spark, path).cache()
-    total = reads.count()
-    counts = search.match_counts(search.matches(reads, patterns, errors, kind), total).cache()
+    counts, total = search.tally(files.read_sequences(spark, path), patterns, errors, kind)
     lines: tuple[dict, dict] = ({}, {})
     for rows, into in ((search.match_report(counts), lines[0]), (search.error_report(search.error_totals(counts, len(patterns), errors, total)), lines[1])):
         for r in rows.orderBy("pattern_no", "line_no").collect():
             into.setdefault(r["pattern_no"], []).append(r["line"])
-    reads.unpersist()
-    counts.unpersist()
     for n, p in enumerate(patterns, start=1):
         if n not in lines[0]:
             logging.warning("no match of %s", p)

@@ -279,9 +279,20 @@ def fuzzy_dual(spark, d):
     return _flat(_found(spark, d, ["ACGT+TTA"], 1)).select("read_id", "errors", "captures")
 
 
-@query()
+#: What lies within one edit of ACGTAC: any of its substitutions, deletions and insertions occurs in the read.
+ONE_EDIT = """select distinct e from (select unnest(['ACGTAC']) as e
+    union all select substring('ACGTAC', 1, p - 1) || b || substring('ACGTAC', p + 1) from (select unnest(range(1, 7)) as p) p, (select unnest(['A', 'C', 'G', 'T', 'N']) as b) b
+    union all select substring('ACGTAC', 1, p - 1) || substring('ACGTAC', p + 1) from (select unnest(range(1, 7)) as p) p
+    union all select substring('ACGTAC', 1, p) || b || substring('ACGTAC', p + 1) from (select unnest(range(0, 7)) as p) p, (select unnest(['A', 'C', 'G', 'T', 'N']) as b) b) e"""
+
+
+@query(f"select distinct read_id, true as within, true as occurs from {{reads}} r join ({ONE_EDIT}) x on contains(sequence, e)")
 def fuzzy_edit(spark, d):
-    return _flat(_found(spark, d, ["ACGTAC"], 1, "e")).select("read_id", "errors", "captures")
+    """Reads with a match of any edit; what was matched is within the errors told, and a part of the read."""
+    found = _flat(_found(spark, d, ["ACGTAC"], 1, "e"))
+    distance = F.levenshtein("captures", F.lit("ACGTAC"))
+    return found.select(
+        "read_id", ((distance <= F.col("errors")) & (F.col("errors") <= 1)).alias("within"), F.col("sequence").contains(F.col("captures")).alias("occurs"))
 
 
 @query("""select read_id, regexp_extract(sequence, '([AC]G(T|A)T)', 1) || ' ' || regexp_extract(sequence, '([AC]G(T|A)T)', 2) as captures from {reads} r where regexp_matches(sequence, '[AC]G(T|A)T')""")
@@ -297,7 +308,12 @@ LEVELS = f"""select l.pattern_no, l.errors, coalesce(n, 0) as cnt, coalesce(n, 0
 
 
 def _tally(spark, d):
-    return search.match_counts(_found(spark, d, PATTERNS, 1), view(spark, d, "reads").count())
+    return search.tally(view(spark, d, "reads"), PATTERNS, 1)
+
+
+def _levels(spark, d):
+    counts, total = _tally(spark, d)
+    return search.error_totals(counts, len(PATTERNS), 1, total)
 
 
 @query(f"select read_id, pattern_no, errors, captures from ({MANY}) m")
@@ -307,23 +323,23 @@ def multi_pattern(spark, d):
 
 @query(f"select pattern_no, errors, captures, cnt, first, round(share, 9) as share from ({TALLY}) t")
 def match_counts(spark, d):
-    return _flat(_tally(spark, d)).withColumn("share", F.round("share", 9))
+    return _flat(_tally(spark, d)[0]).withColumn("share", F.round("share", 9))
 
 
 @query(f"select pattern_no, errors, cnt, round(share, 9) as share from ({LEVELS}) t")
 def error_totals(spark, d):
-    return search.error_totals(_tally(spark, d), len(PATTERNS), 1, view(spark, d, "reads").count()).withColumn("share", F.round("share", 9))
+    return _levels(spark, d).withColumn("share", F.round("share", 9))
 
 
 @query(f"""select pattern_no, cast(row_number() over (partition by pattern_no order by errors, cnt desc, first, captures) as int) as line_no,
     cast(errors as varchar) || ' ' || captures || ' ' || cast(cnt as varchar) || ' ' || printf('%.2f%%', share * 100) as line from ({TALLY}) t""")
 def match_report(spark, d):
-    return search.match_report(_tally(spark, d))
+    return search.match_report(_tally(spark, d)[0])
 
 
 @query(f"select pattern_no, errors as line_no, cast(errors as varchar) || ' ' || cast(cnt as varchar) || ' ' || printf('%.2f%%', share * 100) as line from ({LEVELS}) t")
 def error_report(spark, d):
-    return search.error_report(search.error_totals(_tally(spark, d), len(PATTERNS), 1, view(spark, d, "reads").count()))
+    return search.error_report(_levels(spark, d))
 
 
 EXPANDED = """select 'A.T' as pattern, 'A' || unnest(['A', 'C', 'G', 'T', 'N']) || 'T' as sequence union all select '[ACG]T', unnest(['A', 'C', 'G']) || 'T'
