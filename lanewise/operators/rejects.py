@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.runtime import checkpointed, fresh_name
+from lanewise.runtime import fresh_name, written
 
 FIELDS = ("read_no", "name", "sequence", "quality", "sample")
 #: Possessive, so that long fields are matched in a loop and not by recursion.
 FIELD = '(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
 QUOTED = rf"^{FIELD}(?:,{FIELD})*+\z"
 BARCODE = r"[ACGTN]+(?:\+[ACGTN]+)?"
-NAME = rf"^([A-Za-z0-9]{{3,}}):([0-9]+):([A-Za-z0-9]+):([1-8]):([12][1-4][01][0-9]):([0-9]+):([0-9]+)(?::({BARCODE}))? ([12]):([YN]):([0-9]+):({BARCODE})\z"
+NAME = rf"^[A-Za-z0-9]{{3,}}:[0-9]+:[A-Za-z0-9]+:[1-8]:[12][1-4][01][0-9]:[0-9]+:[0-9]+(?::{BARCODE})? [12]:[YN]:[0-9]+:{BARCODE}\z"
 #: What a value of each column must match by itself.
 VALID = {"read_no": r"^[0-9]+\z", "name": NAME, "sequence": r"^[ACGTN]+\z", "quality": r"^[!-~]*\z"}
-#: Largest invalid-value dictionary, in bytes, that is sent to every task.
-BROADCAST_BYTES = 8 << 20
 
 
 def unquoted(field: Column) -> Column:
@@ -38,25 +36,33 @@ def structure(df: DataFrame, line: str, parts: str, fields: str, reason: str) ->
     return df.withColumn(parts, split).withColumns({fields: F.when(five, struct), reason: broken}).drop(parts)
 
 
-def _print(*of: Column) -> list[Column]:
+def prints(*of: Column) -> list[Column]:
+    """128 bits that stand for the values of ``of``."""
     return [F.xxhash64(*of), F.xxhash64(F.lit(1), *of)]
 
 
+def values(parsed: DataFrame, fields: str, *keep: Column) -> DataFrame:
+    """``place`` (of the column in VALID) and ``value`` of the columns that are judged, beside ``keep``: rows of five fields only."""
+    each = F.array(*[F.struct(F.lit(i).alias("place"), F.col(f"{fields}.{f}").alias("value")) for i, f in enumerate(VALID)])
+    return parsed.select(*keep, F.inline(F.when(F.col(fields).isNotNull(), each)))  # a filter would take the lines apart once more
+
+
 def value_dictionary(parsed: DataFrame, fields: str) -> DataFrame:
-    """Each distinct invalid value once: ``field``, ``value``, ``detail``.
+    """Each distinct invalid value once: ``h1``, ``h2`` (of place and value), ``place``.
 
-    The distinct values of all columns are judged together; as the judgement depends on the
-    grouping columns only, Catalyst moves it below the distinct, and no valid value is shuffled.
+    The distinct values of all columns come from one exchange, combined map-side, and are judged
+    behind it, each once. That they are counted keeps the judgement there: a filter on grouping
+    columns alone would be moved in front of the exchange, to each row's value.
     """
-    values = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{fields}.{f}").alias("value")) for f in VALID])).alias("v")
-    judged = F.when(F.lit(False), "")
-    for field, pattern in VALID.items():
-        judged = judged.when((F.col("field") == field) & ~F.col("value").rlike(pattern), f"{field} doesn't match its form")
-    seen = parsed.filter(F.col(fields).isNotNull()).select(values).select("v.*").distinct()
-    return seen.withColumn("detail", judged).filter(F.col("detail").isNotNull())
+    distinct = values(parsed, fields).groupBy("place", "value").agg(F.count("*").alias("n"))
+    valid = F.lit(True)
+    for i, pattern in enumerate(VALID.values()):
+        valid = F.when(F.col("place") == i, F.col("value").rlike(pattern)).otherwise(valid)
+    h1, h2 = prints(F.col("place"), F.col("value"))
+    return distinct.filter(F.when(F.col("n") > 0, ~valid)).select(h1.alias("h1"), h2.alias("h2"), "place")
 
 
-def judge(df: DataFrame, line: str = "line", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def judge(df: DataFrame, line: str = "line") -> DataFrame:
     """``df`` with ``fields`` (struct of the five texts), ``reason`` and ``detail``.
 
     ``reason`` is null for a valid line, else ``quoting``, ``columns`` or ``value``, the first
@@ -64,49 +70,28 @@ def judge(df: DataFrame, line: str = "line", broadcast_bytes: int = BROADCAST_BY
     empty one has one column; repeated lines are judged alike; an empty table gives none. If
     ``df`` has columns of these names, the new ones get trailing underscores.
 
-    The invalid values of each column are put into a dictionary once, with what is wrong, and
-    joined back; the equal length of quality and sequence is checked beside it, as it concerns
-    two columns. The dictionary is broadcast if its measured size allows. Otherwise the rows'
-    values are joined to it by 128-bit hashes, and the bad lines found are joined to the rows
-    by the hash of the line; both are sort-merge joins whose hot keys AQE splits.
+    Each distinct value of a column is judged once. The invalid ones are put into a dictionary,
+    with the column they don't fit, and joined back to the rows' values by 128-bit hashes; the
+    lines with such a value, by hashes too, are joined to the rows beside the check that quality
+    and sequence are equally long, which concerns two columns. Both tables are written, so that
+    the planner knows their sizes when it chooses how to join; hot keys of sort-merge joins are
+    split by AQE. ``df`` is read three times and must give the same rows each time.
     """
-    fields, reason, detail, a, b, parts = (fresh_name(df, x) for x in ("fields", "reason", "detail", "__a", "__b", "__parts"))
+    fields, reason, detail, a, b, place, parts = (fresh_name(df, x) for x in ("fields", "reason", "detail", "__a", "__b", "__place", "__parts"))
     text = F.col(f"`{line}`")
     rows = structure(df, line, parts, fields, reason)
-    words = checkpointed(value_dictionary(rows, fields))
-    size = words.agg(F.coalesce(F.sum(F.octet_length("value") + F.octet_length("detail") + F.octet_length("field") + 32), F.lit(0)).cast("bigint")).first()[0]
-    if size <= broadcast_bytes:
-        found = []
-        for i, f in enumerate(VALID):
-            one = words.filter(F.col("field") == f).select(F.col("value").alias(a), F.col("detail").alias(f"{b}{i}"))
-            rows = rows.join(F.broadcast(one), F.col(f"{fields}.{f}") == one[a], "left").drop(a)
-            found.append(F.col(f"{b}{i}"))
-        wrong = F.coalesce(*found)
-        spare = [f"{b}{i}" for i in range(len(VALID))]
-    else:
-        h1, h2 = _print(F.col("field"), F.col("value"))
-        keyed = words.select(h1.alias("h1"), h2.alias("h2"), "field", "detail")
-        l1, l2 = _print(text)
-        place = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{fields}.{f}").alias("value")) for f in VALID])).alias("v")
-        values = rows.filter(F.col(fields).isNotNull()).select(l1.alias("l1"), l2.alias("l2"), place).select("l1", "l2", h1_of("v").alias("h1"), h2_of("v").alias("h2"))
-        order = F.array_position(F.array(*map(F.lit, VALID)), F.col("field"))
-        bad = values.join(keyed, ["h1", "h2"]).groupBy("l1", "l2").agg(F.min_by("detail", order).alias(b))
-        rows = rows.withColumns(dict(zip((a, f"{a}_"), _print(text))))
-        rows = rows.join(bad, (F.col(a) == F.col("l1")) & (F.col(f"{a}_") == F.col("l2")), "left")
-        wrong = F.col(b)
-        spare = [a, f"{a}_", "l1", "l2", b]
+    words = written(value_dictionary(rows, fields))
+    l1, l2 = prints(text)
+    h1, h2 = prints(F.col("place"), F.col("value"))
+    hashed = values(rows, fields, l1.alias("l1"), l2.alias("l2")).select("l1", "l2", h1.alias("h1"), h2.alias("h2"))
+    bad = written(hashed.join(words, ["h1", "h2"]).groupBy("l1", "l2").agg(F.min("place").alias(place)))
+    rows = rows.withColumns({a: l1, b: l2})
+    rows = rows.join(bad, (F.col(a) == F.col("l1")) & (F.col(b) == F.col("l2")), "left")
     uneven = F.length(f"{fields}.quality") != F.length(f"{fields}.sequence")
-    final = F.coalesce(F.col(reason), F.when(wrong.isNotNull() | uneven, "value"))
+    final = F.coalesce(F.col(reason), F.when(F.col(place).isNotNull() | uneven, "value"))
+    wrong = F.concat(F.get(F.array(*map(F.lit, VALID)), F.col(place)), F.lit(" doesn't match its form"))
     why = F.when(F.col(reason).isNull(), F.coalesce(wrong, F.when(uneven, "quality isn't as long as sequence")))
-    return rows.withColumns({detail: why, reason: final}).drop(*spare)
-
-
-def h1_of(v: str) -> Column:
-    return F.xxhash64(F.col(f"{v}.field"), F.col(f"{v}.value"))
-
-
-def h2_of(v: str) -> Column:
-    return F.xxhash64(F.lit(1), F.col(f"{v}.field"), F.col(f"{v}.value"))
+    return rows.withColumns({detail: why, reason: final}).select(*df.columns, fields, reason, detail)
 
 
 def typed(judged: DataFrame, keep: list[str]) -> DataFrame:
@@ -115,14 +100,14 @@ def typed(judged: DataFrame, keep: list[str]) -> DataFrame:
     Numbers of more digits than their type holds come out as null beside the text of ``name``;
     a name without umi has a null ``umi``.
     """
-    good = judged.filter(F.col("reason").isNull())
-    part = lambda i: F.regexp_extract("fields.name", NAME, i)
-    number = lambda i, kind: part(i).try_cast(kind)
+    good = judged.filter(F.col("reason").isNull()).withColumns({
+        "core": F.split(F.split_part("fields.name", F.lit(" "), F.lit(1)), ":"), "told": F.split(F.split_part("fields.name", F.lit(" "), F.lit(2)), ":")})
+    core = lambda i: F.get("core", F.lit(i))
+    told = lambda i: F.get("told", F.lit(i))
     return good.select(
         *keep, F.col("fields.read_no").try_cast("decimal(38,0)").alias("read_no"), F.col("fields.name").alias("name"),
-        part(1).alias("instrument"), number(2, "bigint").alias("run"), part(3).alias("flowcell"), number(4, "int").alias("lane"),
-        number(5, "int").alias("tile"), number(6, "bigint").alias("x"), number(7, "bigint").alias("y"),
-        F.when(part(8) != "", part(8)).alias("umi"), number(9, "int").alias("read"), part(10).alias("filtered"),
-        number(11, "bigint").alias("control"), part(12).alias("barcode"),
+        core(0).alias("instrument"), core(1).try_cast("bigint").alias("run"), core(2).alias("flowcell"), core(3).try_cast("int").alias("lane"),
+        core(4).try_cast("int").alias("tile"), core(5).try_cast("bigint").alias("x"), core(6).try_cast("bigint").alias("y"), core(7).alias("umi"),
+        told(0).try_cast("int").alias("read"), told(1).alias("filtered"), told(2).try_cast("bigint").alias("control"), told(3).alias("barcode"),
         F.col("fields.sequence").alias("sequence"), F.col("fields.quality").alias("quality"), F.col("fields.sample").alias("sample"),
     )

@@ -1,4 +1,4 @@
-"""Lines that can't be read: each reason, odd valid lines, both ways of joining the dictionary."""
+"""Lines that can't be read: each reason, odd valid lines, broadcast and sort-merge joins of the dictionary."""
 
 import pytest
 
@@ -34,22 +34,35 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("limit", [rejects.BROADCAST_BYTES, -1])
-def test_reasons(spark, limit):
+@pytest.fixture(params=["10m", "-1"])
+def joins(spark, request):
+    """The planner's size limit of broadcasts, by default and without any."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_reasons(spark, joins):
     df = spark.createDataFrame([(i % 3, line, i, "a", "b") for i, (line, _) in enumerate(CASES)], "raw_id long, line string, n int, reason string, fields string")
-    found = rejects.judge(df, broadcast_bytes=limit)
+    found = rejects.judge(df)
     assert found.columns == ["raw_id", "line", "n", "reason", "fields", "fields_", "reason_", "detail"]
     rows = sorted(found.select("n", "reason_", "detail").collect())
     assert [r[1] for r in rows] == [reason for _, reason in CASES]
     assert all((r[2] is not None) == (r[1] == "value") for r in rows)
 
 
-@pytest.mark.parametrize("limit", [rejects.BROADCAST_BYTES, -1])
-def test_empty_table_and_repeated_rows(spark, limit):
+def test_empty_table_and_repeated_rows(spark, joins):
     df = spark.createDataFrame([], "raw_id long, line string")
-    assert rejects.judge(df, broadcast_bytes=limit).count() == 0
+    assert rejects.judge(df).count() == 0
     twice = spark.createDataFrame([(1, "a,b,c,d,e"), (1, "a,b,c,d,e"), (1, CASES[0][0])], "raw_id long, line string")
-    assert sorted(str(r[0]) for r in rejects.judge(twice, broadcast_bytes=limit).select("reason").collect()) == ["None", "value", "value"]
+    assert sorted(str(r[0]) for r in rejects.judge(twice).select("reason").collect()) == ["None", "value", "value"]
+
+
+def test_values_are_judged_behind_the_exchange(spark):
+    df = spark.createDataFrame([(1, CASES[0][0])], "raw_id long, line string")
+    rows = rejects.structure(df, "line", "parts", "fields", "reason")
+    plan = rejects.value_dictionary(rows, "fields")._jdf.queryExecution().executedPlan().toString()
+    assert "[YN]" in plan.split("Exchange")[0] and "[YN]" not in plan.split("Exchange")[1]
 
 
 def test_typed_rows(spark):
