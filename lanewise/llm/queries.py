@@ -48,17 +48,23 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_shares(spark, sf_dir).filter("repetitive").select("doc_id")
+    return _repetition(spark, sf_dir).filter("repetitive").select("doc_id")
+
+
+def _repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = repetition.repetition(table(spark, sf_dir, "documents"))
-    return rows.withColumns({"share": F.round("share", 9), "llr": F.round("llr", 9)})
+    """The exact share of every document."""
+    rows = repetition.measure(table(spark, sf_dir, "documents"), ["doc_id"])
+    share = F.when(F.col("words") > 0, F.col("repeated") / F.col("words")).otherwise(0.0)
+    return rows.withColumn("share", F.round(share, 9))
 
 
-def p8_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.ngram_ratio(table(spark, sf_dir, "documents"), "doc_id", "text", 0.1)
+def p8_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repetition(spark, sf_dir).select("doc_id", "llr", "candidate", "repetitive")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_ranked, p3_sample, p4_found, p4_totals, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_shares, p8_ngrams)}
+    return {f.__name__: f for f in (p2_found, p2_ranked, p3_sample, p4_found, p4_totals, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_shares, p8_ratios)}

@@ -1,8 +1,7 @@
-"""Repeated content inside each document, thresholded by a log-likelihood ratio."""
+"""Repeated content inside each document: a hashed n-gram log-likelihood ratio picks documents, an exact comparison decides."""
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -13,14 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.runtime import checkpointed
-
 #: Words of a stretch, and the share from which a document counts as repetitive.
 STRETCH = 6
 SHARE = 0.6
-BINS = 16_384
+#: Largest share of the documents that form the trusted target.
+TRUSTED = 0.1
+#: Bins into which n-grams are hashed: so many for fresh words and as many for repeated ones. Fewer n-grams in a bin make its ratio less sure.
+BINS = 256
 #: Raw n-grams added to the target's counts, so that what it lacks has a finite ratio.
 PRIOR = 10
+#: Characters of the texts that are hashed together.
+TOGETHER = 1 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -62,6 +64,11 @@ def repeated_words(words: list[str], stretch: int = STRETCH) -> int:
     return repeated
 
 
+def exact_words(text: str | None, stretch: int = STRETCH) -> tuple[int, int]:
+    words = words_of(text) if text else []
+    return len(words), repeated_words(words, stretch)
+
+
 def _texts(df: DataFrame, keep: list[str], text: str, work: Callable, schema: str) -> DataFrame:
     """``work(text) -> tuple`` of each row, through Arrow, beside the kept columns."""
     rows = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("text"))
@@ -85,94 +92,124 @@ def measure(df: DataFrame, keep: list[str], text: str = "text", stretch: int = S
     ones. Repeated rows stay, an empty table gives none; columns not in ``keep`` are dropped.
     """
 
-    def work(value: str | None) -> tuple[int, int]:
-        words = words_of(value) if value else []
-        return len(words), repeated_words(words, stretch)
-
-    return _texts(df, keep, text, work, "words bigint, repeated bigint")
-
-
-def two_bin_weights(target: tuple[int, int], raw: tuple[int, int]) -> tuple[float, float]:
-    """Log ratios of a repeated and of a fresh word between the target and the raw multinomial, each (words, repeated) with one added to either bin."""
-    pt, pr = ((repeated + 1) / (words + 2) for words, repeated in (target, raw))
-    return math.log(pt / pr), math.log((1 - pt) / (1 - pr))
+    return _texts(df, keep, text, lambda value: exact_words(value, stretch), "words bigint, repeated bigint")
 
 
-def repetition(df: DataFrame, id: str = "doc_id", text: str = "text", share: float = SHARE, stretch: int = STRETCH, trusted: float = 0.1) -> DataFrame:
-    """``id``, ``words``, ``repeated``, ``share``, ``llr``, ``repetitive`` of every document.
+def hashed_grams(texts: list[str], bins: int, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of all texts: the place of their text, and the bin of their n-gram; and the number of words of each text.
 
-    Each document's hashed n-grams fall into two bins, those that began earlier in the same
-    document and fresh ones; of these the words covered are counted. Two multinomials over the
-    bins are estimated: the trusted target's (documents with a share of at most ``trusted``)
-    and the raw corpus's (all). ``llr`` is the document's log-likelihood ratio of target to
-    raw, divided by its words. With two bins it is a monotone function of the repeated share,
-    so the fixed threshold at the ratio of ``share`` loses no document; where both multinomials
-    agree the ratio is 0 for all and all pass it. An exact comparison of repeated to all words
-    follows. See ``measure`` for nulls, empty and short texts: their share is 0 and their llr 0.
+    A word's n-gram is the stretch that begins there (near the end of a text its last one, in a
+    shorter text the word alone). Bins from ``bins`` on are those of words in a stretch whose
+    64-bit hash also begins earlier in the text. Equal stretches have equal hashes, so every
+    repeated word is among them; a few others may be, as hashes may agree by chance.
     """
-    stats = checkpointed(measure(df, [id], text, stretch))
-    clean = F.col("repeated") <= trusted * F.col("words")
-    zero = F.lit(0).cast("bigint")
-    one = stats.agg(*[F.coalesce(F.sum(x), zero) for x in (F.when(clean, F.col("words")), F.when(clean, F.col("repeated")), F.col("words"), F.col("repeated"))]).first()
-    again, fresh = two_bin_weights((one[0], one[1]), (one[2], one[3]))
-    n = F.when(F.col("words") > 0, F.col("words"))
-    llr = F.coalesce((F.col("repeated") * F.lit(again) + (F.col("words") - F.col("repeated")) * F.lit(fresh)) / n, F.lit(0.0))
-    limit = share * again + (1 - share) * fresh
-    slack = 1e-9 * (abs(again) + abs(fresh))
-    passed = F.col("llr") <= F.lit(limit + slack) if again <= fresh else F.col("llr") >= F.lit(limit - slack)
-    measured = F.coalesce(F.col("repeated") / n, F.lit(0.0))
-    return stats.select(id, "words", "repeated", measured.alias("share"), llr.alias("llr")).withColumn(
-        "repetitive", passed & (F.col("words") > 0) & (F.col("share") >= share))
-
-
-def gram_bins(words: list[str], bins: int) -> np.ndarray:
-    """Bins of a text's hashed words and word pairs."""
-    if not words:
-        return np.zeros(0, np.int64)
-    one = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
-    two = (one[:-1] * np.uint64(0x9E3779B1) + one[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
-    return np.concatenate([one, two]).astype(np.int64) % bins
-
-
-def ngram_ratio(df: DataFrame, id: str, text: str, trusted: str | float, bins: int = BINS) -> DataFrame:
-    """``id``, ``grams``, ``llr``, ``kept``: hashed n-gram log-likelihood ratio of each document.
-
-    ``trusted`` marks the target documents: a boolean column (null counts as false), or the
-    largest repeated share of a text that may count. The raw multinomial is that of all rows.
-    Words and word pairs are hashed into ``bins``; the target's counts are smoothed by ``PRIOR``
-    n-grams of the raw multinomial. ``llr`` is divided by the number of n-grams, 0 for a text
-    without words; a document is ``kept`` at 0 or more. Repeated rows count each time, an empty
-    table gives none. Texts are read twice and never shuffled: counting sends at most ``bins``
-    rows per task and to the driver, scoring a table of ``bins`` numbers to each task.
+    lists = [words_of(t) if t else [] for t in texts]
+    counts = np.array([len(x) for x in lists], np.int64)
+    total, size = int(counts.sum()), stretch - 1
+    word = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for x in lists for w in x), np.uint64, total)
+    text = np.repeat(np.arange(len(lists)), counts)
+    at = word * np.uint64(0x9E3779B97F4A7C15)
+    covered = np.zeros(total, bool)
+    if total > size:
+        gram = np.zeros(total - size, np.uint64)
+        for j in range(stretch):
+            gram = gram * np.uint64(0xD1342543DE82EF95) + word[j : total - size + j] + np.uint64(1)
+        gram ^= gram >> np.uint64(31)
+        gram *= np.uint64(0x9E3779B97F4A7C15)
+        inside = np.flatnonzero(text[: total - size] == text[size:])
+        own = gram[inside] ^ (text[inside].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+        order = np.argsort(own, kind="stable")  # equal ones in their order
+        again = inside[order[1:]][own[order[1:]] == own[order[:-1]]]
+        steps = np.bincount(again, minlength=total + stretch) - np.bincount(again + stretch, minlength=total + stretch)
+        covered = np.cumsum(steps)[:total] > 0
+        last = np.repeat(np.cumsum(counts) - stretch, counts)
+        begin = np.minimum(np.arange(total), last)
+        long = np.repeat(counts >= stretch, counts)
+        at[long] = gram[begin[long]]
+    return text, ((at >> np.uint64(33)) % np.uint64(bins)).astype(np.int64) + bins * covered, counts
+
+
+def log_ratios(raw: np.ndarray, target: np.ndarray, bins: int) -> tuple[np.ndarray, float, float]:
+    """Log ratio of target to raw of each bin, cut off at the pooled ratios of fresh and of repeated words; and those two.
+
+    The target's counts are smoothed by PRIOR n-grams of the raw multinomial. Without any word
+    all are 0.
     """
-    by_column = isinstance(trusted, str)
-    good = F.coalesce(F.col(f"`{trusted}`"), F.lit(False)) if by_column else F.lit(False)
-    rows = df.select(F.col(f"`{id}`").alias("id"), good.alias("trusted"), F.col(f"`{text}`").alias("text"))
+    part = raw / max(1, raw.sum())
+    smooth = (target + PRIOR * part) / (target.sum() + PRIOR)
+    halves = slice(0, bins), slice(bins, 2 * bins)
+    pooled = [float(np.log(smooth[h].sum() / part[h].sum())) if raw[h].any() else 0.0 for h in halves]
+    ratio = np.repeat(pooled, bins)
+    seen = raw > 0
+    ratio[seen] = np.minimum(ratio[seen], np.log(smooth[seen] / part[seen]))
+    return ratio, *pooled
+
+
+def runs_of(texts: list, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the texts that hold about ``size`` characters, a longer text alone."""
+    begin = held = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > begin and held + n > size:
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def repetition(df: DataFrame, id: str = "doc_id", text: str = "text", share: float = SHARE, stretch: int = STRETCH, trusted: float = TRUSTED, bins: int = BINS) -> DataFrame:
+    """``id``, ``llr``, ``candidate``, ``words``, ``repeated``, ``share``, ``repetitive`` of every document.
+
+    Every word counts with its hashed n-gram (see ``hashed_grams``), in one bin if it is fresh
+    and in another if it repeats an earlier stretch. Two multinomials over the bins are counted:
+    the trusted target's (documents whose hashed share is at most ``trusted``) and the raw
+    corpus's (all). ``llr`` is the document's log-likelihood ratio of target to raw, divided by
+    its words; ``candidate`` is what doesn't exceed the threshold, and only candidates are
+    compared exactly: for others ``words``, ``repeated`` and ``share`` are null and ``repetitive``
+    false. The threshold is that of a document with the share ``share`` all of whose bins have
+    the largest ratio of their kind. As ratios are cut off at the pooled ratio of their kind, a
+    document with that share or more can't exceed it, so none is lost, whatever the corpus;
+    where target and raw agree, all are candidates.
+
+    A null, empty or wordless text has an llr of 0 and no words, and isn't repetitive. Repeated
+    rows count each time, an empty table gives none; other columns are ignored. Texts are read
+    twice and never shuffled: counting sends at most ``2 * bins`` rows per task and to the
+    driver, scoring a table of as many numbers to each task.
+    """
+    rows = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, bins), np.int64)
+        sums = np.zeros((2, 2 * bins), np.int64)
         for batch in batches:
-            for mark, value in zip(batch.column(0), batch.column(1)):
-                words = words_of(value.as_py() or "")
-                one = np.bincount(gram_bins(words, bins), minlength=bins)
-                sums[0] += one
-                if mark.as_py() if by_column else repeated_words(words) <= trusted * len(words):
-                    sums[1] += one
+            texts = batch.column(0).to_pylist()
+            for a, b in runs_of(texts, TOGETHER):
+                at, bin_, words = hashed_grams(texts[a:b], bins, stretch)
+                good = np.bincount(at, weights=bin_ >= bins, minlength=b - a) <= trusted * words
+                sums[0] += np.bincount(bin_, minlength=2 * bins)
+                sums[1] += np.bincount(bin_[good[at]], minlength=2 * bins)
         used = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0][used]), pa.array(sums[1][used])], names=["bin", "raw", "target"])
 
-    parts = rows.select("trusted", "text").mapInArrow(count, "bin bigint, raw bigint, target bigint")
+    parts = rows.select("text").mapInArrow(count, "bin bigint, raw bigint, target bigint")
     got = parts.groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(bins), np.zeros(bins)
-    raw[got["bin"].to_numpy()] = got["raw"].to_numpy()
-    target[got["bin"].to_numpy()] = got["target"].to_numpy()
-    seen = raw > 0
-    part = raw[seen] / raw.sum()
-    ratio = np.zeros(bins)
-    ratio[seen] = np.log((target[seen] + PRIOR * part) / (target.sum() + PRIOR)) - np.log(part)
+    sums = np.zeros((2, 2 * bins))
+    sums[:, got["bin"].to_numpy()] = [got["raw"].to_numpy(), got["target"].to_numpy()]
+    ratio, fresh, again = log_ratios(*sums, bins)
+    limit = max(share * again + (1 - share) * fresh, again) + 1e-9
 
-    def work(value: str | None) -> tuple[int, float]:
-        at = gram_bins(words_of(value or ""), bins)
-        return len(at), float(ratio[at].mean()) if len(at) else 0.0
-
-    return _texts(rows, ["id"], "text", work, "grams bigint, llr double").withColumn("kept", F.col("llr") >= 0).withColumnRenamed("id", id)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            llr = np.zeros(len(texts))
+            for a, b in runs_of(texts, TOGETHER):
+                at, bin_, words = hashed_grams(texts[a:b], bins, stretch)
+                llr[a:b] = np.bincount(at, weights=ratio[bin_], minlength=b - a) / np.maximum(1, words)
+            exact = [exact_words(t, stretch) if near else (None, None) for t, near in zip(texts, llr <= limit)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(llr), *[pa.array([x[i] for x in exact], pa.int64()) for i in (0, 1)]], names=["id", "llr", "words", "repeated"])
+
+    found = rows.mapInArrow(score, f"id {dict(rows.dtypes)['id']}, llr double, words bigint, repeated bigint")
+    part = F.when(F.col("words") > 0, F.col("repeated") / F.col("words")).when(F.col("words") == 0, 0.0)
+    return found.select(
+        F.col("id").alias(id), "llr", F.col("words").isNotNull().alias("candidate"), "words", "repeated", part.alias("share"),
+        F.coalesce((F.col("words") > 0) & (part >= share), F.lit(False)).alias("repetitive"))

@@ -24,22 +24,12 @@ from documents d left join c on c.doc_id = d.doc_id group by d.doc_id
 """
 
 
-RATIOS = f"""
-with s as ({SHARES}), clean as (select * from s where repeated <= cast(0.1 as double) * words),
-o as (select ((select sum(repeated) from clean) + 1) / cast((select sum(words) from clean) + 2 as double) as pt, (sum(repeated) + 1) / cast(sum(words) + 2 as double) as pr from s)
-select doc_id, words, repeated, round(case when words > 0 then repeated / cast(words as double) else 0 end, 9) as share,
-  round(case when words > 0 then (repeated * ln(pt / pr) + (words - repeated) * ln((1 - pt) / (1 - pr))) / words else 0 end, 9) as llr,
-  words > 0 and 10 * repeated >= 6 * words as repetitive
-from s, o
-"""
-
-
 def oracle_sql() -> dict:
     return {
         "p2_found": f'select run_id, "Lane", "Undetermined_Index" from ({RANKED})',
         "p2_ranked": RANKED,
         "p4_found": HEAVY,
         "p6_decoded": "select doc_id, coalesce(text, '') as text from documents",
-        "p8_shares": RATIOS,
+        "p8_shares": f"select doc_id, words, repeated, round(case when words > 0 then repeated / cast(words as double) else 0 end, 9) as share from ({SHARES}) s",
         "p8_found": f"select doc_id from ({SHARES}) where words > 0 and 10 * repeated >= 6 * words",
     }

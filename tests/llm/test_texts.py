@@ -141,24 +141,51 @@ def test_words_of_other_scripts():
 def test_repetition_of_unusual_tables(spark):
     texts = [None, "", "one two", "a b c d e f " * 10, "a a a a a a a", "1 2 3", "spam " * 100_000, "the quick brown fox jumps over the lazy dog once", "the quick brown fox jumps over the lazy dog once"]
     df = spark.createDataFrame([(i % 8, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, share double")
-    rows = repetition.repetition(df).collect()
+    exact = repetition.measure(df, ["doc_id"]).collect()
     want = Counter((i % 8, *plain_share(t)) if i != 6 else (6, 100_000, 99_999) for i, t in enumerate(texts))
-    assert Counter((r["doc_id"], r["words"], r["repeated"]) for r in rows) == want
-    assert all(r["repetitive"] == (r["words"] > 0 and r["repeated"] / r["words"] >= 0.6) for r in rows)
-    assert {r["doc_id"] for r in rows if r["repetitive"]} == {3, 4, 6}
-    by_share = sorted((r["share"], r["llr"]) for r in rows if r["words"])
-    assert all(a[1] >= b[1] for a, b in zip(by_share, by_share[1:]))
+    assert Counter(tuple(r) for r in exact) == want
+    rows = repetition.repetition(df).collect()
+    assert len(rows) == 9 and {r["doc_id"] for r in rows if r["repetitive"]} == {3, 4, 6}
+    assert all((r["words"] is None) == (not r["candidate"]) for r in rows)
+    assert all((r["doc_id"], r["words"], r["repeated"]) in want for r in rows if r["candidate"])
+    assert all(r["llr"] == 0 and not r["repetitive"] for r in rows if r["doc_id"] in (1, 5))
     assert repetition.repetition(df.limit(0)).count() == 0
     alike = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")  # both multinomials agree
     assert not any(r["repetitive"] for r in repetition.repetition(alike).collect())
 
 
-def test_ngram_ratio_prefers_what_is_trusted(spark):
-    df = spark.createDataFrame([(i, "green apples grow slowly" if i % 2 else "buy cheap pills now", i % 2 == 1 if i > 3 else None) for i in range(40)] + [(99, None, True)], "id long, text string, good boolean")
-    rows = {r["id"]: r for r in repetition.ngram_ratio(df, "id", "text", "good").collect()}
-    assert len(rows) == 41 and rows[99]["llr"] == 0 and rows[99]["kept"]
-    assert rows[1]["llr"] > 0 > rows[0]["llr"]
-    assert repetition.ngram_ratio(df.limit(0), "id", "text", "good").count() == 0
-    spam = spark.createDataFrame([(i, "green apples grow slowly" if i % 2 else "buy cheap pills now " * 9) for i in range(40)], "id long, text string")
-    found = {r["id"]: r["kept"] for r in repetition.ngram_ratio(spam, "id", "text", 0.1).collect()}
-    assert all(found[i] == (i % 2 == 1) for i in range(40))
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(["a", "B", "b", "c", "é", "1", ".", "\n"]), max_size=40).map(" ".join) | st.none(), max_size=8), bins=st.sampled_from([1, 7, 64]))
+def test_hashed_words_are_the_repeated_ones(texts, bins):
+    at, bin_, counts = repetition.hashed_grams(texts, bins)
+    assert [(int(n), int((bin_[at == i] >= bins).sum())) for i, n in enumerate(counts)] == [plain_share(t) for t in texts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**6))
+def test_no_repetitive_document_exceeds_the_threshold(seed):
+    rng, bins = random.Random(seed), rng_bins(seed)
+    raw = repetition.np.array([rng.choice([0, 1, 5, 1000]) for _ in range(2 * bins)])
+    target = repetition.np.array([rng.randint(0, int(n)) for n in raw])
+    ratio, fresh, again = repetition.log_ratios(raw, target, bins)
+    limit = max(0.6 * again + 0.4 * fresh, again) + 1e-9
+    seen = [repetition.np.flatnonzero(raw[:bins]), bins + repetition.np.flatnonzero(raw[bins:])]
+    for _ in range(20):
+        words = rng.randint(1, 30)
+        more = rng.randint(-(-6 * words // 10), words)
+        if all(len(s) for s in seen):
+            some = [rng.choice(seen[1]) for _ in range(more)] + [rng.choice(seen[0]) for _ in range(words - more)]
+            assert ratio[some].mean() <= limit
+
+
+def rng_bins(seed):
+    return 1 + seed % 9
+
+
+def test_the_ratio_alone_tells_most_documents(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    texts = [" ".join(word() for _ in range(80)) for _ in range(300)] + [" ".join([word() for _ in range(9)] * 10) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = repetition.repetition(df).collect()
+    assert {r["doc_id"] for r in rows if r["repetitive"]} == set(range(300, 320)) and sum(r["candidate"] for r in rows) < 40
