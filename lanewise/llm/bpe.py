@@ -8,6 +8,7 @@ import importlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import pyarrow as pa
@@ -19,8 +20,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 WINDOW = 32_768
 #: Ids that are decoded at once.
 IDS = 16_384
-#: A cut before one of these is a border of pre-tokens, if no white space stands before it.
-BLANKS = " \n\t\r"
+#: Ids, and pre-tokens with their ids, that a task keeps at most before it sends or forgets them.
+SENT, KNOWN = 1 << 18, 1 << 16
 #: The longest alternative of the pattern that looks at single characters (a contraction).
 REACH = 3
 
@@ -40,14 +41,13 @@ class Vocabulary:
 
     def __init__(self, path: str):
         import regex
-        import tiktoken
 
         lines = Path(path).read_bytes().splitlines()
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, lines))}
         self.pattern = importlib.import_module("public_tokenizers").PATTERN
         # the encoder's \s is the Unicode property, which leaves out U+001C to U+001F
         self.pieces = regex.compile(self.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.encoding = tiktoken.Encoding(Path(path).name, pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
+        self.known: dict[str, list[int]] = {}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
 
     @property
@@ -81,12 +81,40 @@ def sufficient_lookahead(ranks: dict[bytes, int]) -> int:
     return reach + max(map(len, ranks), default=0)
 
 
+def merged(ranks: dict[bytes, int], piece: bytes) -> list[int]:
+    """Ids of a pre-token's bytes: of all neighbours that form a token, those of the lowest rank are merged first, the leftmost of equal ones."""
+    if piece in ranks:
+        return [ranks[piece]]
+    size = len(piece)
+    ends, before = list(range(1, size + 1)), list(range(-1, size))  # by the byte at which a part begins
+    heap = [(r, i, i + 2) for i in range(size - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, end = heappop(heap)
+        middle = ends[i]
+        if not middle or middle >= size or ends[middle] != end:
+            continue  # a part of this pair has been merged since
+        ends[i], ends[middle] = end, 0
+        if end < size:
+            before[end] = i
+            if (r := ranks.get(piece[i : ends[end]])) is not None:
+                heappush(heap, (r, i, ends[end]))
+        if i and (r := ranks.get(piece[before[i] : end])) is not None:
+            heappush(heap, (r, before[i], end))
+    out, at = [], 0
+    while at < size:
+        out.append(ranks[piece[at : ends[at]]])
+        at = ends[at]
+    return out
+
+
 class Encoder:
     """Streaming transducer from text to ids: ``feed`` emits the tokens that can't change any more.
 
-    It holds at most one window of text: pre-tokens that are decided leave at once, and of a
-    single pre-token longer than the window the merges further from its end than the merge
-    list's sufficient lookahead leave. The ids are those of the whole text at once.
+    Text of any length takes the same way. It holds at most one window of text: pre-tokens that
+    are decided leave when it is full, and of a single pre-token longer than the window the
+    merges further from its end than the merge list's sufficient lookahead leave. The ids are
+    those of the whole text at once.
     """
 
     def __init__(self, vocabulary: Vocabulary, window: int = WINDOW):
@@ -110,32 +138,35 @@ class Encoder:
         if self.kind:
             n = self._run(self.text, self.kind)
             self._end(out, n - (self.kind == "s" and n < len(self.text)))
-        out += self.vocabulary.encoding.encode_ordinary(self.text)
+        self._emit(out, self.vocabulary.pieces.findall(self.text))
         self.text = ""
         return out
 
+    def _emit(self, out: list[int], pieces: list[str]) -> None:
+        known, ranks = self.vocabulary.known, self.vocabulary.ranks
+        for piece in pieces:
+            ids = known.get(piece)
+            if ids is None:
+                if len(known) >= KNOWN:
+                    known.clear()
+                ids = known[piece] = merged(ranks, piece.encode("utf-8", "replace"))
+            out += ids
+
     def _cut(self, out: list[int]) -> None:
-        text = self.text
-        at = max(text.rfind(b, 1, len(text)) for b in BLANKS)
-        while at > 0 and text[at - 1].isspace():
-            at = max(text.rfind(b, 1, at) for b in BLANKS)
-        if at > 0:
-            out += self.vocabulary.encoding.encode_ordinary(text[:at])
-            self.text = text[at:]
-            return
-        at = 0
-        for m in self.vocabulary.pieces.finditer(text):
-            if m.end() >= len(text) or m.start() + REACH > len(text):
-                break
-            out += self.vocabulary.encoding._encode_single_piece(m[0])
-            at = m.end()
-        if at > 0:
-            self.text = text[at:]
+        """Emits the pre-tokens of the window that no further text can change: not the last one, nor what may become a contraction."""
+        pieces = self.vocabulary.pieces.findall(self.text)
+        at = len(self.text)
+        while pieces and (at == len(self.text) or at - len(pieces[-1]) + REACH > len(self.text)):
+            at -= len(pieces.pop())
+        while pieces and at + REACH > len(self.text):
+            at -= len(pieces.pop())
+        if pieces:
+            self._emit(out, pieces)
+            self.text = self.text[at:]
             return
         # one undecided pre-token fills the window
-        first = text[1] if text[0] == " " and self._kind(text[1]) != "s" else text[0]
-        kind = self._kind(first)
-        self.kind, self.piece = kind, b""
+        first = self.text[1] if self.text[0] == " " and self._kind(self.text[1]) != "s" else self.text[0]
+        self.kind, self.piece = self._kind(first), b""
         self._more(out)
 
     def _kind(self, c: str) -> str:
@@ -158,7 +189,7 @@ class Encoder:
             self._end(out, n - held)
 
     def _stable(self, out: list[int]) -> None:
-        ids = self.vocabulary.encoding._encode_single_piece(self.piece)
+        ids = merged(self.vocabulary.ranks, self.piece)
         rest = len(self.piece) - self.vocabulary.lookahead
         at = i = 0
         while i < len(ids) and at + len(self.vocabulary.tokens[ids[i]]) <= rest:
@@ -170,7 +201,7 @@ class Encoder:
     def _end(self, out: list[int], n: int) -> None:
         self.piece += self.text[:n].encode()
         self.text = self.text[n:]
-        out += self.vocabulary.encoding._encode_single_piece(self.piece) if self.piece else []
+        out += merged(self.vocabulary.ranks, self.piece) if self.piece else []
         self.piece, self.kind = b"", ""
 
 
@@ -196,34 +227,49 @@ class Decoder:
 
 
 def encode_text(vocabulary: Vocabulary, text: str, window: int = WINDOW) -> list[int]:
-    if len(text) <= window:  # a single window: all of it is stable at its end
-        return vocabulary.encoding.encode_ordinary(text)
     encoder, out = Encoder(vocabulary, window), []
     for at in range(0, len(text), window):
         out += encoder.feed(text[at : at + window])
     return out + encoder.finish()
 
 
+def windows(value: pa.Scalar, window: int) -> Iterator[str]:
+    """A text in parts of ``window`` bytes, decoded one by one out of the batch's buffer."""
+    raw, decoder = memoryview(value.as_buffer() or b""), codecs.getincrementaldecoder("utf-8")(errors="replace")
+    for at in range(0, len(raw), window):
+        yield decoder.decode(raw[at : at + window], at + window >= len(raw))
+
+
 def _encoded(path: str, window: int, counts: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(path)
         for batch in batches:
-            ids, ends = array("i"), array("i", [0])
-            for value in batch.column(batch.num_columns - 1):
-                text = value.as_py()
-                if text:
-                    some = encode_text(vocabulary, text, window)
+            ids, ends, begin = array("i"), array("i", [0]), 0
+
+            def send(stop: int) -> pa.RecordBatch:
+                if counts:
+                    last = pa.array([b - a for a, b in zip(ends, ends[1:])], pa.int64())
+                else:
+                    last = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                rows = batch.slice(begin, stop - begin)
+                return pa.RecordBatch.from_arrays([*rows.columns[:-1], last], names=[*batch.schema.names[:-1], "out"])
+
+            for row, value in enumerate(batch.column(batch.num_columns - 1)):
+                encoder, size = Encoder(vocabulary, window), ends[-1]
+                for part in windows(value, window):
+                    some = encoder.feed(part)
+                    size += len(some)
                     if not counts:
                         ids.extend(some)
-                    ends.append(ends[-1] + len(some))
-                else:
-                    ends.append(ends[-1])
-            offsets = pa.array(ends, pa.int32())
-            if counts:
-                last = pa.array([b - a for a, b in zip(ends, ends[1:])], pa.int64())
-            else:
-                last = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], last], names=[*batch.schema.names[:-1], "out"])
+                some = encoder.finish()
+                ends.append(size + len(some))
+                if not counts:
+                    ids.extend(some)
+                if ends[-1] >= SENT:
+                    yield send(row + 1)
+                    ids, ends, begin = array("i"), array("i", [0]), row + 1
+            if begin < batch.num_rows or not batch.num_rows:
+                yield send(batch.num_rows)
 
     return task
 
@@ -241,8 +287,9 @@ def encode_corpus(df: DataFrame, keep: list[str], text: str = "text", out: str =
     The id list is empty for a null and for an empty text; strings that look like special
     tokens are ordinary text. Repeated rows stay, an empty table gives none, columns that
     aren't in ``keep`` are dropped. ``vocabulary`` is the path of a rank file. Rows stream
-    through Arrow batches without a shuffle; a text longer than ``window`` characters passes
-    the transducer window by window.
+    through Arrow batches without a shuffle, and every text through the transducer in parts of
+    ``window`` bytes; besides the row's own ids a task holds a window, the lookahead and a
+    bounded number of ids and known pre-tokens.
     """
     return _apply(df, keep, text, out, "array<int>", vocabulary, window)
 
