@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lanewise.llm import bpe, heavy, mixture, repetition, reservoir, topn
 from lanewise.runtime import table
 
-SAMPLE = 20_000
+#: Rows of the samples: of the table at rest, and of the one fed in ARRIVALS batches of pieces.
+SAMPLE, FED, ARRIVALS = 5_000, 500, 8
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,36 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reservoir.reservoir_sample(table(spark, sf_dir, "reads"), SAMPLE, "chunk_id", "read_id")
 
 
+def p3_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample of a reservoir that is fed with the pieces, by ``chunk_id``, in several batches one after the other."""
+    reads = table(spark, sf_dir, "reads")
+    piece = F.coalesce("chunk_id", F.lit(-1))
+    low, high = reads.agg(F.min(piece), F.max(piece)).first()
+    state, sample = reservoir.Reservoir(FED, "read_id"), reads.limit(0)
+    for i in range(ARRIVALS if low is not None else 0):
+        begin, end = (low + (high + 1 - low) * n // ARRIVALS for n in (i, i + 1))
+        sample = state.add(reads.filter((piece >= begin) & (piece < end)))
+    return sample
+
+
+def p3_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of either sample: its size, no row twice, only rows of the table with all their values, and as many of each half of the pieces as chance allows."""
+    reads = table(spark, sf_dir, "reads")
+    size = reads.count()
+    early = F.coalesce("chunk_id", F.lit(-1)) <= reads.agg(F.percentile_approx(F.coalesce("chunk_id", F.lit(-1)), 0.5)).first()[0] if size else F.lit(False)
+    first = reads.filter(early).count()
+    out = None
+    for name, sample in (("rest", p3_sample(spark, sf_dir)), ("fed", p3_arrivals(spark, sf_dir))):
+        n = F.count("*")
+        part = F.lit(first / max(1, size))
+        off = F.abs(F.sum(early.cast("int")) - n * part) <= 5 * F.sqrt(n * part * (1 - part)) + 1
+        row = sample.agg(F.lit(name).alias("sample"), n.alias("rows"), (F.countDistinct("read_id") == n).alias("once"), off.alias("even"))
+        known = sample.join(reads, [F.equal_null(sample[c], reads[c]) for c in reads.columns], "left_semi").agg(F.count("*").alias("known"))
+        row = row.withColumn("known", F.lit(known.first()[0]))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_totals(spark, sf_dir).select("Undetermined_Index")
 
@@ -67,4 +98,4 @@ def p8_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_ranked, p3_sample, p4_found, p4_totals, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_shares, p8_ratios)}
+    return {f.__name__: f for f in (p2_found, p2_ranked, p3_sample, p3_arrivals, p3_even, p4_found, p4_totals, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_shares, p8_ratios)}

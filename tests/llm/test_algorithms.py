@@ -65,6 +65,16 @@ def test_hypergeometric_of_large_populations():
     assert abs(np.mean(draws) - 300) < 3 and abs(np.var(draws) - 75) < 25
 
 
+@pytest.mark.parametrize(("good", "bad", "draws"), [(5, 7, 6), (40, 3, 20), (1000, 9000, 300), (3, 10**6, 10**5)])
+def test_hypergeometric_chances(good, bad, draws):
+    rng = np.random.default_rng(3)
+    own = np.array([reservoir.hypergeometric(rng, good, bad, draws) for _ in range(20_000)])
+    other = rng.hypergeometric(good, bad, draws, 20_000)
+    for x in np.unique(other):
+        a, b = (own == x).mean(), (other == x).mean()
+        assert abs(a - b) < 5 * np.sqrt((a + b) / 20_000)
+
+
 def test_counts_of_survivors_are_uniform():
     counts = np.array([[3, 1], [0, 0], [10, 2], [1, 30], [5, 5]])
     rng = np.random.default_rng(2)
@@ -112,8 +122,7 @@ def test_samples_of_unusual_tables(spark):
     assert reservoir.reservoir_sample(twice, 2, "chunk_id", "read_id").count() == 2
     # without room the first pass falls short and the second repeats it whole
     assert reservoir.reservoir_sample(table(spark), 100, "chunk_id", "read_id", headroom=-5.0).count() == 100
-    # few batches: pieces are taken together
-    assert reservoir.reservoir_sample(table(spark), 100, "chunk_id", "read_id", most_batches=3).count() == 100
+    assert reservoir.reservoir_sample(table(spark), 100, "chunk_id", "read_id", slots=7).count() == 100
 
 
 def test_a_reservoir_fed_piece_by_piece(spark):
@@ -129,3 +138,17 @@ def test_a_reservoir_fed_piece_by_piece(spark):
         seen.update("first" if i < 15 else "second" if i < 70 else "third" for i in ids)
     for name, n in (("first", 15), ("second", 55), ("third", 10)):
         assert abs(seen[name] / 25 - n / 4) < 1.6
+
+
+def test_a_reservoir_is_written_anew(spark, monkeypatch):
+    monkeypatch.setattr(reservoir, "MOST_PARTS", 2)
+    seen = Counter()
+    for seed in range(8):
+        state = reservoir.Reservoir(30, "id", slots=3, seed=seed)
+        for low in range(0, 120, 20):
+            sample = state.add(spark.range(low, low + 20))
+            assert len(state.parts) <= 2
+        ids = [r["id"] for r in sample.collect()]
+        assert len(ids) == len(set(ids)) == 30
+        seen.update(i // 60 for i in ids)
+    assert abs(seen[0] / 8 - 15) < 5
