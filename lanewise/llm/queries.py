@@ -78,6 +78,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source keeps its cap, meets the planned tokens but for a document at most, and has no document twice."""
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    mixture_, shares = mixture.mix(docs, targets)
+    once = mixture_.groupBy("source").agg((F.countDistinct("doc_id") == F.count("*")).alias("once"))
+    near = F.abs(F.col("tokens_used") - F.col("tokens_planned")) <= F.col("largest")
+    return shares.join(once, "source", "left").select("source", "documents", F.coalesce("once", F.lit(True)).alias("once"), (F.col("most_copies") <= F.col("max_repeats")).alias("capped"), near.alias("near"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repetition(spark, sf_dir).filter("repetitive").select("doc_id")
 
@@ -98,4 +107,4 @@ def p8_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_ranked, p3_sample, p3_arrivals, p3_even, p4_found, p4_totals, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_shares, p8_ratios)}
+    return {f.__name__: f for f in (p2_found, p2_ranked, p3_sample, p3_arrivals, p3_even, p4_found, p4_totals, p6_ids, p6_decoded, p7_mixture, p7_shares, p7_kept, p8_found, p8_shares, p8_ratios)}

@@ -31,6 +31,7 @@ def oracle_sql() -> dict:
         "p3_even": "select s as sample, least(k, n) as rows, true as once, true as even, least(k, n) as known from (values ('rest', 5000), ('fed', 500)) t(s, k), (select count(*) as n from reads) r",
         "p4_found": HEAVY,
         "p6_decoded": "select doc_id, coalesce(text, '') as text from documents",
+        "p7_kept": "select t.source, count(d.doc_id) as documents, true as once, true as capped, true as near from mix_targets t left join documents d on d.source = t.source group by 1",
         "p8_shares": f"select doc_id, words, repeated, round(case when words > 0 then repeated / cast(words as double) else 0 end, 9) as share from ({SHARES}) s",
         "p8_found": f"select doc_id from ({SHARES}) where words > 0 and 10 * repeated >= 6 * words",
     }

@@ -117,6 +117,36 @@ def test_repeats_at_the_cap_and_totals(spark):
     assert empty.count() == 0 and {r["actual_share"] for r in shares.collect()} == {0.0}
 
 
+def test_the_layout_does_not_matter(spark):
+    docs = corpus(spark, {"a": (300, 30), "b": (60, 20), "c": (500, 10)})
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 1)], "source string, weight double, max_repeats int")
+    found = [sorted(map(tuple, mixture.mix(docs.repartition(n), targets, bucket_rows=50)[0].collect())) for n in (3, 7)]
+    assert found[0] == found[1]
+    _, shares = mixture.mix(docs, targets, bucket_rows=50)
+    report = {r["source"]: r for r in shares.collect()}
+    assert all(abs(r["actual_share"] - r["attainable_share"]) < 0.01 for r in report.values())
+    assert [s for s, r in report.items() if r["binding"]] == [max(report, key=lambda s: report[s]["tokens_used"] / report[s]["tokens"] / report[s]["max_repeats"])]
+    assert mixture.rounds(10**6, 50) == [20_000, 800, 32, 2, 1]
+
+
+def test_a_few_large_documents_do_not_spoil_the_tokens():
+    rng = random.Random(8)
+    tokens = sorted([5000, 4000, 900] + [rng.randint(5, 60) for _ in range(600)], reverse=True)
+    taken, runs = Counter(), 1500
+    for seed in range(runs):
+        rng, active = random.Random(seed), []
+        p = mixture.descend(tokens, 0.4, rng)
+        assert abs(sum(x * t for x, t in zip(p, tokens)) - 0.4 * sum(tokens)) < 1e-3
+        done = [*mixture.flight(([i, t, x] for i, (t, x) in enumerate(zip(tokens, p))), rng, active), *mixture.landing(active, rng)]
+        chosen = [u[0] for u in done if u[2] == 1]
+        assert abs(sum(tokens[i] for i in chosen) - 0.4 * sum(tokens)) < 200
+        taken.update(chosen)
+    assert all(abs(taken[i] / runs - 0.4) < 0.06 for i in range(len(tokens)))
+    alike = [rng.randint(20, 60) for _ in range(300)]  # both sums stay
+    p = mixture.descend(sorted(alike, reverse=True), 0.3, random.Random(1))
+    assert abs(sum(p) - 90) < 1e-6 and sum(0 < x < 1 for x in p) < 60
+
+
 def test_flight_keeps_chances_and_totals():
     taken, runs = Counter(), 2000
     tokens = [1, 5, 5, 9, 20, 3, 7, 7, 2, 11]
