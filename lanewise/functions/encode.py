@@ -6,9 +6,12 @@ import gzip
 import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lanewise.schema import ORIGIN
+
 # fixed values of the file format: two bits of a base, two of a quality bin
 BASE_CODES = {"A": 0, "C": 1, "G": 2, "T": 3}
 QUALITY_CODES = {0: 0, 9: 1, 24: 2, 40: 3}
@@ -34,28 +37,50 @@ def _table(codes: dict, shift: int = 0) -> np.ndarray:
 BASES, QUALITIES = _table(BASE_CODES), _table(QUALITY_CODES, 2)
 
 
-def cycle_bytes(sequences: list[str], qualities: list[str], cycles: int) -> np.ndarray:
-    """Packed calls, one row of bytes for each cycle: the first cluster of a pair in the high half.
+def _placed(texts: pa.Array, width: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the characters of each text as rows of ``width``, and the texts' lengths; what is longer is cut, what is missing is 0."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    sizes = np.diff(ends)
+    data = texts.buffers()[2]
+    marks = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+    out = np.zeros((len(texts), width), np.uint8)
+    within = np.arange(len(marks)) - np.repeat(ends[:-1] - ends[0], sizes)
+    row, kept = np.repeat(np.arange(len(texts)), sizes), within < width
+    out[row[kept], within[kept]] = codes[marks[kept]]
+    return out, sizes
+
 
-    Clusters that end before a cycle are 0 there, and so is the half left over by an odd number.
-    """
-    n = len(sequences)
-    if max(map(len, sequences), default=0) > cycles:
+def call_codes(sequences: pa.Array, qualities: pa.Array, cycles: int) -> np.ndarray:
+    """Codes of the calls, a row for each cycle and a column for each cluster; 0 behind the end of a sequence."""
+    bases, sizes = _placed(sequences, cycles, BASES)
+    if sizes.max(initial=0) > cycles:
         raise ValueError(f"a read is longer than {cycles} cycles")
-    text = "".join(s.ljust(cycles, "\0") for s in sequences).encode("latin-1")
-    marks = "".join(q[: len(s)].ljust(cycles, "\0") for s, q in zip(sequences, qualities)).encode("latin-1")
-    codes = (BASES[np.frombuffer(text, np.uint8)] | QUALITIES[np.frombuffer(marks, np.uint8)]).reshape(n, cycles).T
-    if n % 2:
-        codes = np.concatenate([codes, np.zeros((cycles, 1), np.uint8)], axis=1)
-    return codes[:, 0::2] << 4 | codes[:, 1::2]
+    marks, _ = _placed(qualities, cycles, QUALITIES)
+    return ((bases | marks) * (np.arange(cycles) < sizes[:, None])).T
+
+
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Two clusters in a byte, the first in the high half; the half left over by an odd number is 0. Works on the last axis."""
+    if codes.shape[-1] % 2:
+        codes = np.concatenate([codes, np.zeros((*codes.shape[:-1], 1), np.uint8)], axis=-1)
+    return codes[..., 0::2] << 4 | codes[..., 1::2]
+
+
+def unpacked(raw: bytes, clusters: int) -> np.ndarray:
+    """The codes of a block; the inverse of ``packed``."""
+    both = np.frombuffer(raw, np.uint8)
+    return np.stack([both >> 4, both & 15], axis=1).reshape(-1)[:clusters]
+
+
+def cycle_bytes(sequences: list[str], qualities: list[str], cycles: int) -> np.ndarray:
+    """Packed calls, one row of bytes for each cycle. Clusters that end before a cycle are 0 there."""
+    return packed(call_codes(pa.array(sequences, pa.string()), pa.array(qualities, pa.string()), cycles))
 
 
 def unpack(block: bytes, clusters: int) -> list[tuple[str, int]]:
     """Base and quality of each cluster in a block; the inverse of ``cycle_bytes``."""
-    raw = np.frombuffer(block, np.uint8)
-    codes = np.stack([raw >> 4, raw & 15], axis=1).reshape(-1)[:clusters]
     bases, marks = "ACGT", list(QUALITY_CODES)
-    return [(bases[c & 3], marks[c >> 2]) for c in codes.tolist()]
+    return [(bases[c & 3], marks[c >> 2]) for c in unpacked(block, clusters).tolist()]
 
 
 def compress(block: bytes) -> bytes:
@@ -84,16 +109,22 @@ def read_cbcl(content: bytes) -> dict[int, tuple[int, bytes]]:
     return out
 
 
-def position_bytes(positions: list[tuple[float, float]]) -> bytes:
-    return struct.pack("<IfI", 1, 1.0, len(positions)) + np.asarray(positions, "<f4").tobytes()
+def position_header(count: int) -> bytes:
+    return struct.pack("<IfI", 1, 1.0, count)
+
+
+def position_bytes(x: np.ndarray, y: np.ndarray) -> bytes:
+    """Coordinates as the position file holds them: tenths from the origin, single precision."""
+    return np.stack([(x - ORIGIN) / 10, (y - ORIGIN) / 10], axis=1).astype("<f4").tobytes()
 
 
 def read_positions(content: bytes) -> list[tuple[float, float]]:
     return [tuple(map(float, p)) for p in np.frombuffer(content, "<f4", offset=12).reshape(-1, 2)]
 
 
-def filter_bytes(passed: list[int]) -> bytes:
-    return struct.pack("<III", 0, 3, len(passed)) + bytes(passed)
+def filter_header(clusters: int) -> bytes:
+    """Of filter and of control files, which have a byte and two for each position."""
+    return struct.pack("<III", 0, 3, clusters)
 
 
 def read_filter(content: bytes) -> list[int]:
@@ -101,4 +132,4 @@ def read_filter(content: bytes) -> list[int]:
 
 
 def control_bytes(clusters: int) -> bytes:
-    return struct.pack("<III", 0, 3, clusters) + bytes(2 * clusters)
+    return filter_header(clusters) + bytes(2 * clusters)

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import encode, names
-from lanewise.schema import BLOCK, FILE, ORIGIN, SHIFT
+from lanewise.runtime import checkpointed
+from lanewise.schema import BLOCK, ORIGIN, PARTS, SHIFT
 
 SYNTHETIC = "I"
 VALID_TILE = "^[12][1-4][01][0-9]$"
+#: Height of the stripes into which tiles and positions are split, and rows that a task packs at once (even).
+STRIPE, RANGE = 256, 16_384
+CALLS = "Data/Intensities/BaseCalls"
 
 
 def organise(files: DataFrame) -> DataFrame:
@@ -23,11 +31,12 @@ def organise(files: DataFrame) -> DataFrame:
 def pair(mates: DataFrame) -> DataFrame:
     """Reads of a pair side by side: lane, sample, pos, name, sequence1, quality1, sequence2, quality2.
 
-    One aggregation by (lane, sample, pos); a mate that is missing, there twice or of another name raises.
+    One aggregation by (lane, sample, pos), without a map-side step, as mates lie in different
+    files; a mate that is missing, there twice or of another name raises.
     """
     core = F.split_part("name", F.lit(" "), F.lit(1))
     one = lambda m, c: F.max(F.when(F.col("mate") == m, F.col(c)))
-    both = mates.groupBy("lane", "sample", "pos").agg(
+    both = mates.repartition("lane", "sample", "pos").groupBy("lane", "sample", "pos").agg(
         F.count("*").alias("n"), F.min(core).alias("a"), F.max(core).alias("b"), one(1, "name").alias("name"),
         one(1, "sequence").alias("sequence1"), one(1, "quality").alias("quality1"), one(2, "sequence").alias("sequence2"), one(2, "quality").alias("quality2"))
     good = (F.col("n") == 2) & (F.col("a") == F.col("b")) & F.col("sequence1").isNotNull() & F.col("sequence2").isNotNull()
@@ -133,26 +142,64 @@ def cycle_hex(clusters: DataFrame, cycles: int) -> DataFrame:
     return packed.withColumn("hex", F.when(F.col("clusters") % 2 == 1, F.concat("hex", F.lit("0"))).otherwise(F.col("hex")))
 
 
+def ranges(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Sorted rows in tables of at most RANGE rows, each of one value of the first ``keys`` columns; constant memory."""
+    held, size, now = [], 0, None
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            key = [batch.column(i)[at].as_py() for i in range(keys)]
+            if size and (key != now or size == RANGE):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+            now = key
+            same = np.ones(batch.num_rows - at, bool)
+            for i, k in enumerate(key):
+                same &= batch.column(i).to_numpy(zero_copy_only=False)[at:] == k
+            end = len(same) if same.all() else int(np.argmin(same))
+            n = min(end, RANGE - size)
+            held.append(batch.slice(at, n))
+            size, at = size + n, at + n
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def cycle_blocks(clusters: DataFrame, cycles: int) -> DataFrame:
     """Packed and compressed calls by (lane, surface, tile, cycle), clusters ordered by (y, x, pos).
 
-    Reads become cycles by a transposed byte matrix per tile, in place of a row per call. A tile
-    holds as many clusters as its area has room for, which bounds the group. A read longer than
+    Reads become cycles by transposed byte matrices, in place of a row per call. Tiles are split
+    into stripes of STRIPE coordinates, sorted by Spark, and packed in ranges of RANGE clusters;
+    then the ranges of a tile and cycle, half a byte for each cluster, are put together in their
+    order. So neither a tile's reads nor its cycles come together in a task. A read longer than
     ``cycles`` raises, a shorter one is filled up with 0.
     """
 
-    def tile(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["y", "x", "pos"])
-        plain = encode.cycle_bytes(frame["sequence"].tolist(), frame["quality"].tolist(), cycles)
-        lane, tile_no, n = frame["lane"].iloc[0], int(frame["tile"].iloc[0]), len(frame)
-        rows = []
-        for c in range(cycles):
-            raw = plain[c].tobytes()
-            packed = encode.compress(raw)
-            rows.append((lane, tile_no // 1000, tile_no, c + 1, n, len(raw), len(packed), packed))
-        return pd.DataFrame(rows, columns=BLOCK.names)
-
-    return clusters.select(F.col("lane").cast("bigint"), "tile", "x", "y", "pos", "sequence", "quality").groupBy("lane", "tile").applyInPandas(tile, BLOCK)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, rows in enumerate(ranges(batches, 3)):
+            lane, tile, stripe = (rows.column(i)[0].as_py() for i in range(3))
+            plain = encode.packed(encode.call_codes(rows.column("sequence").chunk(0), rows.column("quality").chunk(0), cycles))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v] * cycles, t) for v, t in ((lane, pa.int64()), (tile, pa.int64()), (stripe, pa.int64()), (n, pa.int64()), (rows.num_rows, pa.int64()))]
+                + [pa.array(range(1, cycles + 1), pa.int32()), pa.array([row.tobytes() for row in plain], pa.binary())], names=["lane", "tile", "stripe", "n", "clusters", "cycle", "calls"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for lane, tile, cycle, parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                codes = [encode.unpacked(x["calls"], x["clusters"]) for x in parts]
+                raw = encode.packed(np.concatenate(codes)).tobytes()
+                block = encode.compress(raw)
+                rows.append((lane, tile // 1000, tile, cycle, sum(map(len, codes)), len(raw), len(block), block))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=BLOCK.names)
+
+    keyed = clusters.select(
+        F.col("lane").cast("bigint").alias("lane"), F.col("tile").cast("bigint").alias("tile"), F.floor(F.col("y") / STRIPE).alias("stripe"), "y", "x", "pos",
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("sequence", "quality")])
+    striped = keyed.repartition("lane", "tile", "stripe").sortWithinPartitions("lane", "tile", "stripe", "y", "x", "pos").select("lane", "tile", "stripe", "sequence", "quality")
+    parts = striped.mapInArrow(pack, "lane long, tile long, stripe long, n long, clusters long, cycle int, calls binary")
+    whole = parts.groupBy("lane", "tile", "cycle").agg(F.array_sort(F.collect_list(F.struct("stripe", "n", "clusters", "calls"))).alias("parts"))
+    return whole.mapInArrow(join, BLOCK)
 
 
 def tile_metrics(blocks: DataFrame) -> DataFrame:
@@ -160,16 +207,76 @@ def tile_metrics(blocks: DataFrame) -> DataFrame:
 
 
 def cycle_files(blocks: DataFrame) -> DataFrame:
-    """``path``, ``content`` of each lane's, surface's and cycle's file: header, then its tiles in order."""
+    """``path``, ``ord``, ``content``: the file of each lane, surface and cycle in parts, a header and then the blocks of its tiles in order.
+
+    ``blocks`` are used twice, so they are written to the shared folder; what comes together
+    for a header are the numbers of at most as many tiles as the geometry has.
+    """
+    blocks = checkpointed(blocks)
+    name = F.concat(F.lit(f"{CALLS}/L00"), "lane", F.lit("/C"), "cycle", F.lit(".1/L00"), "lane", F.lit("_"), "surface", F.lit(".cbcl"))
+
+    @F.pandas_udf("binary")
+    def header(tiles: pd.Series) -> pd.Series:
+        return tiles.map(lambda some: encode.cbcl_header([(t["tile"], t["clusters"], t["usize"], t["csize"]) for t in some]))
+
+    tiles = blocks.groupBy("lane", "surface", "cycle").agg(F.array_sort(F.collect_list(F.struct("tile", "clusters", "usize", "csize"))).alias("tiles"))
+    heads = tiles.select(name.alias("path"), F.lit(-1).cast("bigint").alias("ord"), header("tiles").alias("content"))
+    return heads.unionByName(blocks.select(name.alias("path"), F.col("tile").alias("ord"), F.col("block").alias("content")))
+
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("tile")
-        r = frame.iloc[0]
-        header = encode.cbcl_header([(t, n, u, c) for t, n, u, c in frame[["tile", "clusters", "usize", "csize"]].itertuples(index=False)])
-        path = f"Data/Intensities/BaseCalls/L00{r['lane']}/C{r['cycle']}.1/L00{r['lane']}_{r['surface']}.cbcl"
-        return pd.DataFrame({"path": [path], "content": [header + b"".join(frame["block"])]})
+def in_stripes(places: DataFrame) -> DataFrame:
+    """Positions (``x``, ``y`` and others) by stripe, in order of (y, x)."""
+    return places.withColumn("stripe", F.floor(F.col("y") / STRIPE)).repartition("stripe").sortWithinPartitions("stripe", "y", "x")
 
-    return blocks.groupBy("lane", "surface", "cycle").applyInPandas(one, FILE)
+
+def position_file(places: DataFrame) -> DataFrame:
+    """The run's position file in parts: ``path``, ``ord``, ``content``. ``places``: the distinct positions of a run, shifted; read twice."""
+    path = "Data/Intensities/s.locs"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, rows in enumerate(ranges(batches, 1)):
+            x, y = (rows.column(c).to_numpy() for c in ("x", "y"))
+            ord_ = rows.column(0)[0].as_py() << 32 | n
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([ord_], pa.int64()), pa.array([encode.position_bytes(x, y)], pa.binary())], names=PARTS.names)
+
+    head = places.sparkSession.createDataFrame([(path, -1, encode.position_header(places.count()))], PARTS)
+    return head.unionByName(in_stripes(places).select("stripe", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y")).mapInArrow(pack, PARTS))
+
+
+def occupied(clusters: DataFrame) -> DataFrame:
+    """Every position of the run once (``x``, ``y``, shifted), with the codes (lane * 10000 + tile) of the tiles that have a cluster there."""
+    code = F.col("lane").cast("bigint") * 10_000 + F.col("tile").cast("bigint")
+    return clusters.groupBy((F.col("x") + SHIFT).alias("x"), (F.col("y") + SHIFT).alias("y")).agg(F.collect_set(code).alias("tiles"))
+
+
+def filter_files(places: DataFrame, lanes: list[int], tiles: list[int], controls: bool = False) -> DataFrame:
+    """Filter files of all ``tiles`` of ``lanes`` in parts: for each range of positions a byte for each, 1 where the tile has a cluster.
+
+    ``places`` as ``occupied`` gives them, read twice. With ``controls`` the control files of the
+    tiles, which are empty, come along. What a task holds is a range of positions by the tiles
+    of the geometry.
+    """
+    wanted = np.array(sorted(lane * 10_000 + tile for lane in lanes for tile in tiles), np.int64)
+    names_ = [f"{CALLS}/L00{c // 10_000}/s_{c // 10_000}_{c % 10_000}" for c in wanted.tolist()]
+    kinds = [("filter", 1), ("control", 2)][: 1 + controls]
+    count = places.count()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, rows in enumerate(ranges(batches, 1)):
+            lists = pa.concat_arrays(rows.column("tiles").chunks)
+            row = np.repeat(np.arange(rows.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            code = lists.flatten().to_numpy()
+            at = np.searchsorted(wanted, code).clip(0, len(wanted) - 1)
+            known = wanted[at] == code
+            passed = np.zeros((len(wanted), rows.num_rows), np.uint8)
+            passed[at[known], row[known]] = 1
+            ord_ = rows.column(0)[0].as_py() << 32 | n
+            for kind, size in kinds:
+                content = [p.tobytes() for p in passed] if size == 1 else [bytes(2 * rows.num_rows)] * len(wanted)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{x}.{kind}" for x in names_]), pa.array([ord_] * len(wanted), pa.int64()), pa.array(content, pa.binary())], names=PARTS.names)
+
+    head = places.sparkSession.createDataFrame([(f"{x}.{kind}", -1, encode.filter_header(count)) for kind, _ in kinds for x in names_], PARTS)
+    return head.unionByName(in_stripes(places).select("stripe", "tiles").mapInArrow(pack, PARTS))
 
 
 def scaled(value: Column) -> Column:

@@ -9,13 +9,12 @@ import logging
 from collections.abc import Iterable
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.functions import encode, masks, names
+from lanewise.functions import masks, names
 from lanewise.operators import mixing, ncontent, rewind, search, sheets, synth
-from lanewise.schema import FILE
+from lanewise.runtime import checkpointed
 from lanewise.sources import files
 
 UNDETERMINED = "Undetermined*R1*.fastq.gz"
@@ -85,54 +84,40 @@ def clusters(spark: SparkSession, folder: str, recipes: DataFrame, single_umi_fi
     return rewind.located(single.unionByName(paired)).select("lane", "tile", "x", "y", F.concat_ws("/", "sample", F.format_string("%015d", "pos")).alias("pos"), "sequence", "quality")
 
 
-def position_file(places: DataFrame) -> DataFrame:
-    """The run's position file; its size is bounded by the area of a tile."""
+def rewind_run(spark: SparkSession, folder: str, output: str, sheet_text: str, total_cycles: int | None = None, single_umi_first: bool = True, day: dt.datetime | None = None, controls: bool = False) -> int:
+    """The instrument's folder of a run out of its demultiplexed reads; the number of cycles.
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["y", "x"])
-        at = [((x - 1000) / 10, (y - 1000) / 10) for x, y in zip(frame["x"], frame["y"])]
-        return pd.DataFrame({"path": ["Data/Intensities/s.locs"], "content": [encode.position_bytes(at)]})
-
-    return places.withColumn("run", F.lit(1)).groupBy("run").applyInPandas(one, FILE)
-
-
-def filter_files(passed: DataFrame) -> DataFrame:
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["y", "x"])
-        lane, tile = frame["lane"].iloc[0], frame["tile"].iloc[0]
-        return pd.DataFrame({"path": [f"Data/Intensities/BaseCalls/L00{lane}/s_{lane}_{tile}.filter"], "content": [encode.filter_bytes(frame["passed"].tolist())]})
-
-    return passed.groupBy("lane", "tile").applyInPandas(one, FILE)
-
-
-def rewind_run(spark: SparkSession, folder: str, output: str, sheet_text: str, total_cycles: int | None = None, single_umi_first: bool = True, day: dt.datetime | None = None) -> int:
-    """The instrument's folder of a run out of its demultiplexed reads; the number of cycles."""
+    Reads are paired and merged once, into the shared folder; all files come out of that, in
+    parts. Folders may lie in any file system that pyarrow knows.
+    """
     sheet = sheets.read_sheet(spark, sheet_text, required=("Lane", "Sample_Name", "index", "index2", "OverrideCycles"))
     recipes = sheets.masks_table(sheet)
     cycles = sheets.read_cycles(sheet_text)
     total = max(sum(cycles.values()), total_cycles or 0)
-    merged = clusters(spark, folder, recipes, single_umi_first).cache()
-    lanes = sorted(r[0] for r in merged.select("lane").distinct().collect())
+    merged = checkpointed(clusters(spark, folder, recipes, single_umi_first))
+    held = merged.select("lane", "tile").distinct().collect()  # bounded by the geometry
+    lanes = sorted({r["lane"] for r in held})
     if not lanes:
         raise ValueError(f"no reads of the sheet's samples in {folder}")
     files.write_blobs(rewind.cycle_files(rewind.cycle_blocks(merged, total)), output)
-    files.write_blobs(position_file(rewind.unique_positions(merged)), output)
+    places = checkpointed(rewind.occupied(merged))
+    files.write_blobs(rewind.position_file(places.select("x", "y")), output)
     # every tile of a lane has a filter file, those without reads too
-    every = synth.all_tiles(spark).select(F.explode(F.array(*map(F.lit, lanes))).alias("lane"), "tile")
-    files.write_blobs(filter_files(rewind.filters(merged, every)), output)
-    first = files.read_sequences(spark, folder, "*.fastq.gz").filter(~F.col("file").contains("Undetermined")).orderBy("file", "pos").select(names.read_name_fields(F.col("name")).alias("f")).first()["f"]
+    every = [r["tile"] for r in synth.all_tiles(spark).collect()]
+    files.write_blobs(rewind.filter_files(places, lanes, every, controls), output)
+    begin = next(f for f in files.listed(folder, "*.fastq.gz") if "Undetermined" not in f.rpartition("/")[2])
+    name = next(iter(files.fastq_records(begin)), ("",))[0]
+    first = spark.range(1).select(names.read_name_fields(F.lit(name)).alias("f")).first()["f"]
     day = day or dt.datetime.now(dt.timezone.utc)
     run = f"{day:%y%m%d}{first['instrument']}_{first['run_number']:04d}_{first['flowcell_id']}"
     shown = [{"number": i, "key": k, "cycles": n, "is_index": "N" if k[0] == "R" else "Y"} for i, (k, n) in enumerate(((k, n) for k, n in cycles.items() if n), start=1)]
-    tiles = [r["name"] for r in rewind.tile_names(merged.select("lane", "tile")).collect()]
-    xml = rewind.run_info_xml(run, first["run_number"], first["flowcell_id"], first["instrument"], f"{day:%Y-%m-%dT%H:%M:%SZ}", shown, len(lanes), tiles)
-    Path(output, "RunInfo.xml").write_text(xml)
-    copy = Path(output, "SampleSheet.csv")
-    if copy.exists():
+    tiles = [f"{lane}_{tile}" for lane, tile in sorted((r["lane"], r["tile"]) for r in held)]
+    files.write_text(f"{output}/RunInfo.xml", rewind.run_info_xml(run, first["run_number"], first["flowcell_id"], first["instrument"], f"{day:%Y-%m-%dT%H:%M:%SZ}", shown, len(lanes), tiles))
+    copy = f"{output}/SampleSheet.csv"
+    if files.exists(copy):
         logging.warning("%s is there already and isn't replaced", copy)
     else:
-        copy.write_text(sheet_text)
-    merged.unpersist()
+        files.write_text(copy, sheet_text)
     return total
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gzip
+import re
 import uuid
 from collections.abc import Callable
+from datetime import datetime
+from hashlib import md5
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +15,9 @@ from pyspark.sql import functions as F
 
 from lanewise.functions import encode, fuzzy, masks, names
 from lanewise.operators import mixing, ncontent, rewind, search, sheets, synth
+from lanewise.plans import runs
 from lanewise.plans.views import sql, view
 from lanewise.runtime import ensure_checkpoint_dir
-from lanewise.schema import FILE
 from lanewise.sources import files, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -593,16 +596,105 @@ def tile_metrics(spark, d):
     return rewind.tile_metrics(rewind.cycle_blocks(_clusters(spark, d), CYCLES)).drop("csize")
 
 
-@query()
+CALLED = "lane long, surface int, tile long, cycle int, clusters long, hex string"
+
+
+def _decoded(spark, at: str) -> DataFrame:
+    """The calls in the cycle files of a folder, by lane, surface, tile and cycle."""
+
+    def opened(frames):
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame["path"], frame["content"]):
+                lane, cycle, surface = map(int, re.search(r"L00(\d)/C(\d+)\.1/L00\d_(\d)\.cbcl$", path).groups())
+                rows += [(lane, surface, tile, cycle, n, block.hex()) for tile, (n, block) in encode.read_cbcl(content).items()]
+            yield pd.DataFrame(rows, columns=["lane", "surface", "tile", "cycle", "clusters", "hex"])
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.cbcl").load(at)
+    return found.select("path", "content").mapInPandas(opened, CALLED)
+
+
+@query(f"select lane, cast(tile // 1000 as int) as surface, tile, cycle, clusters, hex from ({BLOCKS}) b")
 def cbcl_files(spark, d):
-    return rewind.cycle_files(rewind.cycle_blocks(_clusters(spark, d), CYCLES))
+    """Cycle files, written and opened again."""
+    at = folder(spark)
+    files.write_blobs(rewind.cycle_files(rewind.cycle_blocks(_clusters(spark, d), CYCLES)), at)
+    return _decoded(spark, at)
 
 
-@query()
+RUN_CYCLES = 120
+#: Clusters of a whole run: paired ones merged, those of single-end masks with their index.
+RUN = f"""select cast(regexp_extract(sample, '_L00([1-9])_', 1) as bigint) as lane, cast(split_part(core, ':', 5) as bigint) as tile, cast(split_part(core, ':', 6) as bigint) as x,
+    cast(split_part(core, ':', 7) as bigint) as y, sample || '/' || lpad(cast(row_number() over (partition by sample order by pos) - 1 as varchar), 15, '0') as pos, sequence, quality
+    from (select sample, pos, split_part(name, ' ', 1) as core, sequence, quality from (
+      select g.sample, pos, name, sequence, quality from ({MERGED}) g join ({MASKS_TABLE}) k on k.sample = g.sample where R2 > 0
+      union all select m.sample, pos, name, sequence || I1, quality || repeat('I', length(I1)) from {{mates}} m join ({MASKS_TABLE}) t on m.sample = t.sample where mate = 1 and R2 = 0) a) b"""
+RUN_BLOCKS = f"""select lane, cast(tile // 1000 as int) as surface, tile, cycle, count(*) as clusters, string_agg(substring('0123456789abcdef', {CODE} + 1, 1), '' order by y, x, pos) || case when count(*) % 2 = 1 then '0' else '' end as hex
+    from (select *, substring(sequence, cycle, 1) as b, substring(quality, cycle, 1) as q from (select *, cast(unnest(range(1, {RUN_CYCLES} + 1)) as int) as cycle from ({RUN}) r) e) c group by 1, 2, 3, 4"""
+RUN_PLACES = f"select distinct x + 1 as x, y + 1 as y from ({RUN}) r"
+EVERY_TILE = "select l.lane, s * 1000 + w * 100 + n as tile from (select distinct lane from run) l, (select unnest(range(1, 3)) as s) s, (select unnest(range(1, 5)) as w) w, (select unnest(range(1, 17)) as n) n"
+
+
+def _demultiplexed(spark, d) -> tuple[str, str]:
+    """A folder of FASTQ files of named samples, as one would come out of a run, and its sheet."""
+    at = folder(spark)
+    single = _recipes(spark, d).filter("R2 = 0").select("sample")
+    mates = view(spark, d, "mates")
+    wanted = mates.filter("mate = 1").unionByName(mates.filter("mate = 2").join(single, "sample", "left_anti"))
+    name = F.concat(F.regexp_replace("sample", "_001$", "_R"), F.col("mate").cast("string"), F.lit("_001.fastq.gz"))
+    files.write_sequences(wanted.withColumn("file", name), at)
+    columns = ["Lane", "Sample_ID", "Sample_Name", "Sample_Project", "index", "index2", "OverrideCycles"]
+    rows = [[r[c] or "" for c in columns] for r in view(spark, d, "samples").filter("row_no > 0").orderBy("row_no").collect()]
+    reads = "[Reads]\nRead1Cycles,32\nIndex1Cycles,8\nIndex2Cycles,8\nRead2Cycles,32\n"
+    return at, reads + "[BCLConvert_Data]\n" + "".join(",".join(r) + "\n" for r in [columns, *rows])
+
+
+def _rewound(spark, d) -> str:
+    """The folder of a run's files, out of its FASTQ files."""
+    source, sheet = _demultiplexed(spark, d)
+    out = folder(spark)
+    runs.rewind_run(spark, source, out, sheet, RUN_CYCLES, day=datetime(2024, 3, 5))
+    return out
+
+
+@query(f"""with run as ({RUN}) select 'Data/Intensities/BaseCalls/L00' || cast(lane as varchar) || '/C' || cast(c as varchar) || '.1/L00' || cast(lane as varchar) || '_' || cast(s as varchar) || '.cbcl' as path
+      from (select distinct lane, tile // 1000 as s from run) r, (select unnest(range(1, {RUN_CYCLES} + 1)) as c) c
+    union all select 'Data/Intensities/BaseCalls/L00' || cast(lane as varchar) || '/s_' || cast(lane as varchar) || '_' || cast(tile as varchar) || '.filter' from ({EVERY_TILE}) t
+    union all select unnest(['Data/Intensities/s.locs', 'RunInfo.xml', 'SampleSheet.csv'])""")
 def rewind_files(spark, d):
-    """The whole way from pairs of reads to the files of each cycle."""
-    merged = rewind.merge_paired(rewind.with_recipe(_pairs(spark, d), _recipes(spark, d)))
-    return rewind.cycle_files(rewind.cycle_blocks(rewind.located(merged), 120))
+    """The whole way from FASTQ files to the files of the instrument: their paths."""
+    out = _rewound(spark, d)
+    base = out.removeprefix("file:").rstrip("/") + "/"
+    return spark.createDataFrame([(p.removeprefix("file:").split(base, 1)[-1],) for p in files.listed(out, "*")], "path string")
+
+
+@query(RUN_BLOCKS)
+def rewind_cycles(spark, d):
+    return _decoded(spark, _rewound(spark, d))
+
+
+@query(f"select row_number() over (order by y, x) as ord, cast((x - 1000) / 10.0 as float) as lx, cast((y - 1000) / 10.0 as float) as ly from ({RUN_PLACES}) p")
+def rewind_positions(spark, d):
+    out = _rewound(spark, d)
+    content = spark.read.format("binaryFile").load(f"{out}/Data/Intensities/s.locs").first()["content"]
+    return spark.createDataFrame([(n, *p) for n, p in enumerate(encode.read_positions(bytes(content)), start=1)], "ord long, lx float, ly float")
+
+
+@query(f"""with run as ({RUN}), places as (select distinct x, y from run), has as (select distinct lane, tile, x, y from run)
+    select t.lane, t.tile, count(*) as positions, cast(count(h.x) as bigint) as passed, md5(string_agg(case when h.x is null then '0' else '1' end, '' order by p.y, p.x)) as bits
+    from ({EVERY_TILE}) t cross join places p left join has h on h.lane = t.lane and h.tile = t.tile and h.x = p.x and h.y = p.y group by 1, 2""")
+def rewind_filters(spark, d):
+    def opened(frames):
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame["path"], frame["content"]):
+                lane, tile = map(int, re.search(r"s_(\d)_(\d+)\.filter$", path).groups())
+                bits = "".join(map(str, encode.read_filter(content)))
+                rows.append((lane, tile, len(bits), bits.count("1"), md5(bits.encode()).hexdigest()))
+            yield pd.DataFrame(rows, columns=["lane", "tile", "positions", "passed", "bits"])
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.filter").load(_rewound(spark, d))
+    return found.select("path", "content").mapInPandas(opened, "lane long, tile long, positions long, passed long, bits string")
 
 
 @query("select lane, sample, pos, name from {mates} m where mate = 1 order by lane, sample, pos limit 1")
@@ -677,11 +769,3 @@ def dir_extract(spark, d):
     at = folder(spark).removeprefix("file:")
     tree.create(tree.parse(_listing(spark)), at)
     return tree.extract(spark, f"{at}/mydir")
-
-
-@query()
-def blob_files(spark, d):
-    at = folder(spark)
-    files.write_blobs(cbcl_files(spark, d), at)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at)
-    return found.select(F.regexp_extract("path", "Data/.*$", 0).alias("path"), "content").to(FILE)

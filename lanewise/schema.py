@@ -16,6 +16,8 @@ MIXING = _fields(("Lane", S), ("Undetermined_Index", S), ("Count", L), ("Fractio
 MATCH = _fields(("errors", I), ("captures", T.ArrayType(S)))
 BLOCK = _fields(("lane", L), ("surface", I), ("tile", L), ("cycle", I), ("clusters", L), ("usize", L), ("csize", L), ("block", B))
 FILE = _fields(("path", S), ("content", B))
+#: Files in parts, which follow each other in order of ``ord``.
+PARTS = _fields(("path", S), ("ord", L), ("content", B))
 ENTRY = _fields(("ord", L), ("path", S), ("kind", S))
 
 #: Geometry of the flowcell: grid in tenths of a coordinate, and tiles of a lane.

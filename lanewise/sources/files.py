@@ -240,5 +240,35 @@ def write_sequences(rows: DataFrame, path: str, kind: str = "fastq") -> None:
 
 
 def write_blobs(files: DataFrame, path: str) -> None:
+    """Binary files out of rows of ``path`` and ``content``, or of their parts in order of ``ord``."""
     register(files.sparkSession)
+    if "ord" in files.columns:
+        files = files.repartition("path").sortWithinPartitions("path", "ord")
     files.select("path", "content").write.format("blobs").mode("append").save(path)
+
+
+def exists(path: str) -> bool:
+    system, inner = opened(path)
+    return system.get_file_info(inner).type != fs.FileType.NotFound
+
+
+def is_folder(path: str) -> bool:
+    system, inner = opened(path)
+    return system.get_file_info(inner).type == fs.FileType.Directory
+
+
+def make_folder(path: str) -> None:
+    system, inner = opened(path)
+    system.create_dir(inner, recursive=True)
+
+
+def read_text(path: str) -> str:
+    system, inner = opened(path)
+    with system.open_input_stream(inner, compression=None) as raw:
+        return raw.read().decode()
+
+
+def write_text(path: str, text: str) -> None:
+    system, inner = opened(path)
+    with system.open_output_stream(inner, compression=None) as out:
+        out.write(text.encode())
