@@ -55,10 +55,11 @@ def within_one(text: Column, index: Column) -> Column:
     return F.when(F.length(index) == 0, True).when(F.length(index) > F.length(text), False).otherwise(F.exists(places, differs))
 
 
-def index_mixing(sheet: DataFrame, barcodes: DataFrame) -> DataFrame:
+def index_mixing(sheet: DataFrame, barcodes: DataFrame, run: list[str] | None = None) -> DataFrame:
     """Barcodes that fit a sample of another lane, within one substitution for each index.
 
-    ``sheet``: Lane, Sample_Project, index1, index2 (null: not asked for; a null index1 never
+    ``run`` names columns of both sides (and of the result, in front) that tell runs apart, if
+    there are several. ``sheet``: Lane, Sample_Project, index1, index2 (null: not asked for; a null index1 never
     fits); ``barcodes``: Lane, Undetermined_Index, Count, Fraction, and any others that are kept out. An index may lie
     anywhere in the barcode, across its ``+`` too. Repeated rows of either side give repeated hits.
 
@@ -67,22 +68,24 @@ def index_mixing(sheet: DataFrame, barcodes: DataFrame) -> DataFrame:
     such forms, in place of a comparison of all pairs. The second index is compared for the
     pairs that are left.
     """
-    samples = sheet.filter("index1 is not null").groupBy("Lane", "Sample_Project", "index1", "index2").agg(F.count("*").alias("times"))
-    found = barcodes.filter("Undetermined_Index is not null").groupBy("Lane", "Undetermined_Index", "Count", "Fraction").agg(F.count("*").alias("again"))
+    run = run or []
+    samples = sheet.filter("index1 is not null").groupBy(*run, "Lane", "Sample_Project", "index1", "index2").agg(F.count("*").alias("times"))
+    found = barcodes.filter("Undetermined_Index is not null").groupBy(*run, "Lane", "Undetermined_Index", "Count", "Fraction").agg(F.count("*").alias("again"))
     lengths = [r[0] for r in samples.select(F.length("index1")).distinct().collect()]
     text = F.col("Undetermined_Index")
     parts = F.flatten(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda size: windows(text, size)))
-    left = samples.select(F.col("Lane").alias("Lane_Project"), "Sample_Project", "index1", "index2", "times", F.explode(masked(F.col("index1"))).alias("form"))
+    left = samples.select(*run, F.col("Lane").alias("Lane_Project"), "Sample_Project", "index1", "index2", "times", F.explode(masked(F.col("index1"))).alias("form"))
     right = found.select("*", F.explode(F.array_distinct(F.flatten(F.transform(parts, masked)))).alias("form"))
-    pairs = right.join(left, (right["form"] == left["form"]) & (F.col("Lane") != F.col("Lane_Project"))).drop("form").distinct()
+    pairs = right.join(left, [*run, "form"]).filter(F.col("Lane") != F.col("Lane_Project")).drop("form").distinct()
     fits = pairs.filter(F.col("index2").isNull() | within_one(text, F.col("index2")))
     copies = F.explode(F.array_repeat(F.lit(1), (F.col("times") * F.col("again")).cast("int"))).alias("one")
-    return fits.select("Lane", "Undetermined_Index", "Count", "Fraction", "Sample_Project", "Lane_Project", "index1", "index2", copies).drop("one")
+    return fits.select(*run, "Lane", "Undetermined_Index", "Count", "Fraction", "Sample_Project", "Lane_Project", "index1", "index2", copies).drop("one")
 
 
-def unexpected(hits: DataFrame, sheet: DataFrame) -> DataFrame:
+def unexpected(hits: DataFrame, sheet: DataFrame, run: list[str] | None = None) -> DataFrame:
     """Hits whose indexes the sheet doesn't expect in their own lane; those without second index always stay."""
-    return hits.join(sheet.select("Lane", "index1", "index2").distinct(), ["Lane", "index1", "index2"], "left_anti").select(hits.columns)
+    keys = [*(run or []), "Lane", "index1", "index2"]
+    return hits.join(sheet.select(keys).distinct(), keys, "left_anti").select(hits.columns)
 
 
 def by_barcode(hits: DataFrame) -> DataFrame:

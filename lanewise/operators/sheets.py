@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import masks, names
+from lanewise.operators import drift
 from lanewise.schema import SHEET
 
 DATA_MARKERS = ("[Data]", "[BCLConvert_Data]")
+#: The section that sheets of the second version have; those of the first name cycles in ``Recipe`` and the flowcell in ``FCID``.
+SECOND = "[BCLConvert_Data]"
 REQUIRED = ("Lane", "Sample_Project", "index")
 
 
@@ -24,11 +27,25 @@ def sections(lines: DataFrame) -> DataFrame:
     return lines.select("row_no", "line", F.last(label, ignorenulls=True).over(Window.orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)).alias("section")).filter("line <> ''")
 
 
-def data_rows(labelled: DataFrame, header: list[str], section: str) -> DataFrame:
-    """Rows of a section as columns; the section line and its header are left out."""
-    rows = labelled.filter(F.col("section") == section).withColumn("n", F.row_number().over(Window.orderBy("row_no"))).filter("n > 2")
-    cells = F.split("line", ",")
-    return rows.select((F.col("n") - 2).alias("row_no"), *[F.nullif(F.get(cells, F.lit(i)), F.lit("")).alias(h) for i, h in enumerate(header)])
+def named_rows(lines: DataFrame, columns: tuple[str, ...], required: tuple[str, ...] = ()) -> DataFrame:
+    """Data rows of many sheets: ``sheet_id``, ``line_no`` and ``columns``, each found by its header.
+
+    ``lines``: sheet_id, line_no, line. Of equal headers the first counts; cells are taken
+    without quotes and outer blanks, empty ones and those of headers that a sheet lacks are
+    null. Sheets without data section, or without one of the ``required`` headers, give no rows.
+    """
+    read = drift.data_sections(lines)
+    slots = read.columns.groupBy("sheet_id", "head_no", "end").agg(F.map_from_entries(F.collect_list(F.struct("field", "pos"))).alias("slots"))
+    for c in required:
+        slots = slots.filter(F.map_contains_key("slots", F.lit(c)))
+    cell = lambda c: F.nullif(F.get("cells", F.try_element_at("slots", F.lit(c))), F.lit("")).alias(c)
+    return read.rows(slots).select("sheet_id", "line_no", *[cell(c) for c in columns])
+
+
+def data_rows(lines: DataFrame) -> DataFrame:
+    """The data rows of one sheet (``row_no``, ``line``) with the schema SHEET, found by their headers and numbered from 1."""
+    rows = named_rows(lines.select(F.lit(0).alias("sheet_id"), F.col("row_no").alias("line_no"), "line"), tuple(SHEET.names[1:]))
+    return rows.select(F.row_number().over(Window.orderBy("line_no")).alias("row_no"), *SHEET.names[1:])
 
 
 def read_section(text: str, markers: tuple[str, ...]) -> tuple[list[str], list[list[str]]]:
@@ -67,6 +84,21 @@ def read_sheet(spark: SparkSession, text: str, markers: tuple[str, ...] = DATA_M
     return spark.createDataFrame([(n, *[cell(r, c) for c in SHEET.names[1:]]) for n, r in enumerate(rows, start=1)], SHEET)
 
 
+def generator_sheet(spark: SparkSession, text: str) -> tuple[DataFrame, str | None]:
+    """The samples of a sheet of either version, with their mask in OverrideCycles; and the flowcell, which the first version names.
+
+    A recipe such as ``151-10-10-151`` has cycles of reads only, of which the last number counts
+    for the single segment that the mask then has. ValueError if there are several flowcells.
+    """
+    if any(line.strip().startswith(SECOND) for line in text.splitlines()):
+        return read_sheet(spark, text, required=("Lane", "Sample_ID", "Sample_Project", "OverrideCycles")), None
+    rows = read_sheet(spark, text, required=("Lane", "Sample_ID", "Sample_Project", "Recipe", "FCID"))
+    cells = [r[0] for r in rows.select("FCID").distinct().limit(2).collect()]
+    if len(cells) > 1:
+        raise ValueError("the sheet names several flowcells")
+    return rows.withColumn("OverrideCycles", F.concat(F.lit("Y"), F.replace("Recipe", F.lit("-"), F.lit("Y")))), cells[0]
+
+
 def read_cycles(text: str) -> dict[str, int]:
     """Cycles of each read of a sheet's ``[Reads]``, in the order R1, I1, I2, R2."""
     first, rows = read_section(text, ("[Reads]",))

@@ -126,8 +126,8 @@ def generate_run(spark: SparkSession, output: Path, sheet_text: str, number: int
 
     With ``taint`` about a tenth of each sample's reads also lie in its lane's undetermined file.
     """
-    sheet = sheets.read_sheet(spark, sheet_text, required=("Lane", "Sample_ID", "Sample_Project"))
-    cell = synth.flowcell_id(seed)
+    sheet, named = sheets.generator_sheet(spark, sheet_text)
+    cell = named or synth.flowcell_id(seed)
     instrument, run = f"VH{10000 + seed % 90000}", 100 + seed % 900
     top = output / (flowcell or f"{day or dt.date.today():%Y%m%d}_{instrument}_{run:04d}_A{cell}")
     top.mkdir(parents=True, exist_ok=True)

@@ -378,8 +378,7 @@ def sheet_sections(spark, d):
 
 @query("""select cast(row_number() over (order by row_no) as int) as row_no, Lane as "Lane", Sample_ID as "Sample_ID", Sample_Project as "Sample_Project", index, index2 from {samples} s""")
 def sheet_rows(spark, d):
-    labelled = sheets.sections(view(spark, d, "sheet_text"))
-    return sheets.data_rows(labelled, ["Lane", "Sample_ID", "Sample_Project", "index", "index2"], "[BCLConvert_Data]")
+    return sheets.data_rows(view(spark, d, "sheet_text")).select("row_no", "Lane", "Sample_ID", "Sample_Project", "index", "index2")
 
 
 @query("""select * from (values (1, 'R1', 151), (2, 'I1', 10), (3, 'I2', 8), (4, 'R2', 151)) t(ord, key, cycles)""")

@@ -52,7 +52,7 @@ select row_no, line from (
   select cast(1 as bigint) as row_no, '[Header]' as line union all select 2, 'FileFormatVersion,2' union all select 3, '' union all
   select 4, '[Reads]' union all select 5, 'Read1Cycles,151' union all select 6, 'Index1Cycles,10' union all select 7, 'Index2Cycles,8' union all
   select 8, 'Read2Cycles,151' union all select 9, '[BCLConvert_Data]' union all select 10, 'Lane,Sample_ID,Sample_Project,index,index2' union all
-  select 10 + row_no, Lane || ',' || Sample_ID || ',' || Sample_Project || ',' || index || ',' || coalesce(index2, '') from ({SAMPLES}) s union all
+  select 11 + row_no, Lane || ',' || Sample_ID || ',' || Sample_Project || ',' || index || ',' || coalesce(index2, '') from ({SAMPLES}) s union all
   select 100000000, '[Cloud_Settings]' union all select 100000001, 'GeneratedVersion,1.0') t
 """
 

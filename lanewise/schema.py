@@ -10,7 +10,7 @@ def _fields(*pairs):
 S, I, L, D, B = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BinaryType()
 
 READ = _fields(("file", S), ("pos", L), ("name", S), ("sequence", S), ("quality", S))
-SHEET = _fields(("row_no", I), ("Lane", S), ("Sample_ID", S), ("Sample_Name", S), ("Sample_Project", S), ("index", S), ("index2", S), ("OverrideCycles", S))
+SHEET = _fields(("row_no", I), ("Lane", S), ("Sample_ID", S), ("Sample_Name", S), ("Sample_Project", S), ("index", S), ("index2", S), ("OverrideCycles", S), ("Recipe", S), ("FCID", S))
 BARCODES = _fields(("Lane", S), ("Undetermined_Index", S), ("Count", L), ("Fraction", D))
 MIXING = _fields(("Lane", S), ("Undetermined_Index", S), ("Count", L), ("Fraction", D), ("Sample_Project", S), ("Lane_Project", S), ("index1", S), ("index2", S))
 MATCH = _fields(("errors", I), ("captures", T.ArrayType(S)))

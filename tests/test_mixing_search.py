@@ -45,6 +45,15 @@ def test_masked_join_equals_all_pairs(spark):
     assert mixing.index_mixing(spark.createDataFrame([], SHEET), spark.createDataFrame(found, BARCODES)).count() == 0
 
 
+def test_runs_are_kept_apart(spark):
+    sheet = spark.createDataFrame([(1, "L001", "P", "ACGTACGT", None), (2, "L002", "Q", "TTTTTTTT", None)], "run_id int, " + SHEET)
+    found = spark.createDataFrame([(1, "L002", "ACGTACGA", 3, 0.5), (2, "L001", "ACGTACGT", 2, 0.5), (2, "L001", "TTTTTTTT+A", 1, 0.5)], "run_id int, " + BARCODES)
+    hits = mixing.index_mixing(sheet, found, ["run_id"])
+    assert sorted(map(tuple, hits.select("run_id", "Undetermined_Index", "Sample_Project").collect())) == [(1, "ACGTACGA", "P"), (2, "TTTTTTTT+A", "Q")]
+    own = spark.createDataFrame([(2, "L001", "Z", "TTTTTTTT", "A")], "run_id int, " + SHEET)
+    assert mixing.unexpected(hits, own, ["run_id"]).count() == 2
+
+
 def test_counting_cutting_and_cleaning(spark):
     names = ["Undetermined_S0_L001_R1_001.fastq.gz"] * 3
     reads = spark.createDataFrame([(f, i, f"a:1:f:1:1101:1:1 1:N:0:{b}") for i, (f, b) in enumerate(zip(names, ["ACGTACGT+TGCATGCA", "ACGTACGT+TGCATGCA", "CCCCCCCC+GGGGGGGG"]))], "file string, pos long, name string")

@@ -77,6 +77,15 @@ def test_sheet(spark, marker):
     assert single.first()["index2"] is None
 
 
+def test_rows_by_their_headers(spark):
+    lines = [(1, 1, "[Data],,"), (1, 2, 'index2 ,"Sample_ID",Lane,Lane'), (1, 3, '"a, ""b""",s1,1,9'), (1, 4, ",s2"), (2, 1, "[Data]"), (2, 2, "Sample_ID"), (2, 3, "s3"), (3, 1, "[Reads]"), (3, 2, "151")]
+    df = spark.createDataFrame(lines, "sheet_id long, line_no int, line string")
+    rows = sheets.named_rows(df, ("Lane", "Sample_ID", "index2"))
+    assert sorted(map(tuple, rows.collect())) == [(1, 3, "1", "s1", 'a, "b"'), (1, 4, None, "s2", None), (2, 3, None, "s3", None)]
+    assert sheets.named_rows(df, ("Sample_ID",), ("Lane",)).count() == 2
+    assert sheets.named_rows(df.limit(0), ("Lane",)).count() == 0
+
+
 def test_sheet_errors(spark):
     with pytest.raises(ValueError, match="no section"):
         sheets.read_sheet(spark, "[Header]\na,b\n")

@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lanewise.plans import archive, sequencing
+from lanewise.plans import archive, delivered, sequencing
 from lanewise.streaming import barcodes
 
 DATA = "/root/testdata/sf0.001"
-ORACLE = sequencing.ORACLE | archive.ORACLE
+ORACLE = sequencing.ORACLE | archive.ORACLE | delivered.ORACLE
 
 
 def norm(value):
@@ -40,7 +40,7 @@ def test_same_rows_as_sql(spark, engine, name):
     assert sorted((tuple(norm(r[c]) for c in order) for r in rows.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", sorted((sequencing.QUERIES | archive.QUERIES).keys() - ORACLE.keys()))
+@pytest.mark.parametrize("name", sorted((sequencing.QUERIES | archive.QUERIES | delivered.QUERIES).keys() - ORACLE.keys()))
 def test_other_queries_run(spark, name):
     assert entry.queries()[name](spark, DATA).count() > 0
 

@@ -105,6 +105,20 @@ def test_generate_and_rewind(spark, tmp_path):
     assert 'NumCycles="31"' in xml and 'IsIndexedRead="Y"' in xml and "<Tile>1_" in xml and "FourDigit" in xml
 
 
+def test_generate_from_a_sheet_of_the_first_version(spark, tmp_path):
+    sheet = tmp_path / "SampleSheet.csv"
+    sheet.write_text("[Header]\n[Data]\nFCID,Lane,Sample_ID,Sample_Project,Recipe\nHXX1,1,Sample_a,P,30-8-20\nHXX1,2,Sample_b,P,30-8-20\n")
+    (tmp_path / "o").mkdir()
+    cli.main(["generate", "--sample-sheet", str(sheet), "--output", str(tmp_path / "o"), "--format", "fastq", "--seq-number", "5", "--flowcell-id", "FC"])
+    found = sorted(str(p.relative_to(tmp_path / "o/FC/Demultiplexing")) for p in tmp_path.rglob("*.fastq.gz"))
+    assert found == ["P/Sample_a/a_S1_L001_R1_001.fastq.gz", "P/Sample_b/b_S2_L002_R1_001.fastq.gz"]
+    records = list(files.fastq_records(str(next(tmp_path.rglob("a_S1*")))))
+    assert len(records) == 5 and all(n.split(":")[2] == "HXX1" and len(s) == 20 for n, s, _ in records)
+    sheet.write_text(sheet.read_text().replace("HXX1,2", "HXX2,2"))
+    with pytest.raises(ValueError, match="several flowcells"):
+        cli.main(["generate", "--sample-sheet", str(sheet), "--output", str(tmp_path / "o"), "--format", "fastq", "--flowcell-id", "FD"])
+
+
 def test_tainted_run(spark, tmp_path):
     sheet = tmp_path / "SampleSheet.csv"
     sheet.write_text(SHEET.format(r1=31))
