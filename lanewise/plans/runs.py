@@ -7,7 +7,6 @@ import datetime as dt
 import json
 import logging
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +20,10 @@ UNDETERMINED = "Undetermined*R1*.fastq.gz"
 MIXING_COLUMNS = ["Lane", "Undetermined_Index", "Count", "Fraction", "Sample_Project", "Lane_Project", "index1", "index2"]
 
 
-def write_csv(rows: DataFrame, path: Path) -> int:
+def write_csv(rows: DataFrame, path: str) -> int:
     """One file with a header, row by row through the driver; the number of rows."""
     n = 0
-    with path.open("w", newline="") as out:
+    with files.create(path) as out:
         writer = csv.writer(out)
         writer.writerow(rows.columns)
         for n, row in enumerate(rows.toLocalIterator(), start=1):
@@ -41,12 +40,12 @@ def mixing_report(spark: SparkSession, folder: str, sheet_text: str) -> tuple[Da
     return ordered, mixing.by_lane(hits).orderBy("Lane")
 
 
-def n_report(spark: SparkSession, paths: list[str], output: Path) -> None:
+def n_report(spark: SparkSession, paths: list[str], output: str) -> None:
     """Per input: rows and chart of reads by their number of N, and of N by cycle and tile."""
-    output.mkdir(parents=True, exist_ok=True)
+    files.make_folder(output)
     for path in paths:
         positions = ncontent.n_positions(files.read_sequences(spark, path))
-        stem = Path(path).name.removesuffix(".gz").rpartition(".")[0]
+        stem = path.rpartition("/")[2].removesuffix(".gz").rpartition(".")[0]
         for what, rows, form in (
             ("n_counts", ncontent.n_count_histogram(positions).orderBy("n_count"), {"mark": "bar", "x": "n_count", "y": "n_sequences", "log": True}),
             ("n_per_cycle", ncontent.n_by_cycle_filled(positions).orderBy("tile", "cycle"), {"mark": "line", "x": "cycle", "y": "n_count", "color": "tile"}),
@@ -54,7 +53,8 @@ def n_report(spark: SparkSession, paths: list[str], output: Path) -> None:
             data = [r.asDict() for r in rows.drop("file").collect()]
             if not data:
                 logging.warning("no N, or read names without coordinates, in %s", path)
-            (output / f"{stem}_{what}.json").write_text(json.dumps(ncontent.chart(data, **form)))
+            files.write_text(f"{output}/{stem}_{what}.json", json.dumps(ncontent.chart(data, **form)))
+            files.write_text(f"{output}/{stem}_{what}.svg", ncontent.drawing(data, **form))
 
 
 def search_report(spark: SparkSession, path: str, patterns: list[str], errors: int, kind: str) -> tuple[dict[int, list[str]], dict[int, list[str]]]:
@@ -121,7 +121,7 @@ def rewind_run(spark: SparkSession, folder: str, output: str, sheet_text: str, t
     return total
 
 
-def generate_run(spark: SparkSession, output: Path, sheet_text: str, number: int, alphabet: str, extended: bool, flowcell: str | None, seed: int, day: dt.date | None = None, taint: bool = False) -> Path:
+def generate_run(spark: SparkSession, output: str, sheet_text: str, number: int, alphabet: str, extended: bool, flowcell: str | None, seed: int, day: dt.date | None = None, taint: bool = False) -> str:
     """A demultiplexed flowcell folder with ``number`` reads of each sample of the sheet; its path.
 
     With ``taint`` about a tenth of each sample's reads also lie in its lane's undetermined file.
@@ -129,9 +129,9 @@ def generate_run(spark: SparkSession, output: Path, sheet_text: str, number: int
     sheet, named = sheets.generator_sheet(spark, sheet_text)
     cell = named or synth.flowcell_id(seed)
     instrument, run = f"VH{10000 + seed % 90000}", 100 + seed % 900
-    top = output / (flowcell or f"{day or dt.date.today():%Y%m%d}_{instrument}_{run:04d}_A{cell}")
-    top.mkdir(parents=True, exist_ok=True)
-    (top / "SampleSheet.csv").write_text(sheet_text)
+    top = f"{output}/{flowcell or f'{day or dt.date.today():%Y%m%d}_{instrument}_{run:04d}_A{cell}'}"
+    files.make_folder(top)
+    files.write_text(f"{top}/SampleSheet.csv", sheet_text)
     found = sheets.sample_numbers(sheet).withColumn("m", masks.parse_mask(F.col("OverrideCycles"))).orderBy("number").collect()
     placed = synth.sample_tiles(spark.createDataFrame([(i, r["number"]) for i, r in enumerate(found)], "n long, number int"))
     tile_of = {r["n"]: r["tile"] for r in placed.join(synth.all_tiles(spark), F.col("tile_no") == F.col("no")).collect()}
@@ -152,7 +152,7 @@ def generate_run(spark: SparkSession, output: Path, sheet_text: str, number: int
         some = reads.filter(F.pmod(F.xxhash64(F.lit(seed), "n", "pos"), F.lit(10)) == 0)
         other = F.concat(F.lit("Demultiplexing/Undetermined_S0_"), lane, F.lit("_R"), F.col("mate").cast("string"), F.lit("_001.fastq.gz"))
         reads = reads.unionByName(some.withColumns({"file": other, "pos": F.col("n") * F.lit(number).cast("bigint") + F.col("pos")}))
-    files.write_sequences(reads, str(top))
+    files.write_sequences(reads, top)
     return top
 
 

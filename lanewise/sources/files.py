@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -257,6 +258,24 @@ def is_folder(path: str) -> bool:
     return system.get_file_info(inner).type == fs.FileType.Directory
 
 
+def is_file(path: str) -> bool:
+    system, inner = opened(path)
+    return system.get_file_info(inner).type == fs.FileType.File
+
+
+def remove(path: str) -> None:
+    """A file or a folder with all it holds."""
+    system, inner = opened(path)
+    system.delete_dir(inner) if is_folder(path) else system.delete_file(inner)
+
+
+def create(path: str, append: bool = False) -> io.TextIOWrapper:
+    """A text file to write, gzip by its name; with ``append`` behind what it holds."""
+    system, inner = opened(path)
+    start = system.open_append_stream if append and exists(path) else system.open_output_stream
+    return io.TextIOWrapper(start(inner, compression="gzip" if inner.endswith(".gz") else None), encoding="utf-8", newline="")
+
+
 def make_folder(path: str) -> None:
     system, inner = opened(path)
     system.create_dir(inner, recursive=True)
@@ -269,6 +288,5 @@ def read_text(path: str) -> str:
 
 
 def write_text(path: str, text: str) -> None:
-    system, inner = opened(path)
-    with system.open_output_stream(inner, compression=None) as out:
-        out.write(text.encode())
+    with create(path) as out:
+        out.write(text)

@@ -4,7 +4,9 @@ import csv
 import gzip
 import json
 import random
+import re
 import struct
+from xml.etree import ElementTree
 
 import pytest
 
@@ -26,6 +28,29 @@ Lane,Sample_ID,Sample_Name,index,index2,Sample_Project,OverrideCycles
 """
 
 
+def test_a_submitted_tool_keeps_its_master(monkeypatch):
+    import pyspark
+    from pyspark.sql import SparkSession
+
+    class Builder:
+        seen = None
+
+        def __getattr__(self, name):
+            return lambda *a: setattr(self, "seen", a[0] if name == "master" else self.seen) or self
+
+        def getOrCreate(self):
+            raise InterruptedError(self.seen)
+
+    for known, want in ((True, "None"), (False, "local[3]")):
+        monkeypatch.setattr(pyspark, "SparkConf", lambda known=known: type("C", (), {"contains": lambda self, key: known})())
+        monkeypatch.setattr(SparkSession, "builder", Builder())
+        with pytest.raises(InterruptedError, match=re.escape(want)):
+            OWN_SESSION(3)
+
+
+OWN_SESSION = cli.session
+
+
 @pytest.fixture(autouse=True)
 def own_session(spark, monkeypatch):
     monkeypatch.setattr(cli, "session", lambda *a: spark)
@@ -157,6 +182,8 @@ def test_search_and_n_tools(tmp_path, capsys):
     assert cli.main(["ncontent", "--input", str(path), "--output", str(tmp_path / "n")]) == 0
     chart = json.loads((tmp_path / "n/a_n_counts.json").read_text())
     assert chart["data"]["values"] == [{"n_count": 2, "n_sequences": 1}]
+    pictures = [ElementTree.fromstring((tmp_path / f"n/a_{w}.svg").read_text()) for w in ("n_counts", "n_per_cycle")]
+    assert [len(p.findall("{*}rect")) for p in pictures] == [1, 0] and len(pictures[1].findall("{*}polyline")) == 1
     with pytest.raises(FileNotFoundError):
         cli.main(["search", "--input", str(tmp_path / "none"), "--index-regex", "A"])
 
