@@ -28,19 +28,22 @@ def organise(files: DataFrame) -> DataFrame:
     return files.groupBy(known.alias("lane"), names.sample_of_file(F.col("file")).alias("sample")).agg(F.array_sort(F.collect_list("file")).alias("files"))
 
 
-def pair(mates: DataFrame) -> DataFrame:
+def pair(mates: DataFrame, alone: str | None = None) -> DataFrame:
     """Reads of a pair side by side: lane, sample, pos, name, sequence1, quality1, sequence2, quality2.
 
     One aggregation by (lane, sample, pos), without a map-side step, as mates lie in different
-    files; a mate that is missing, there twice or of another name raises.
+    files; a mate that is missing, there twice or of another name raises. ``alone`` names a
+    boolean column, the same for a whole sample: where it is true, a first mate may be without
+    second, whose sequence and quality are null then.
     """
     core = F.split_part("name", F.lit(" "), F.lit(1))
     one = lambda m, c: F.max(F.when(F.col("mate") == m, F.col(c)))
     both = mates.repartition("lane", "sample", "pos").groupBy("lane", "sample", "pos").agg(
-        F.count("*").alias("n"), F.min(core).alias("a"), F.max(core).alias("b"), one(1, "name").alias("name"),
+        F.count("*").alias("n"), F.min(core).alias("a"), F.max(core).alias("b"), F.max(F.col(alone) if alone else F.lit(False)).alias("alone"), one(1, "name").alias("name"),
         one(1, "sequence").alias("sequence1"), one(1, "quality").alias("quality1"), one(2, "sequence").alias("sequence2"), one(2, "quality").alias("quality2"))
-    good = (F.col("n") == 2) & (F.col("a") == F.col("b")) & F.col("sequence1").isNotNull() & F.col("sequence2").isNotNull()
-    return both.withColumn("name", F.when(good, F.col("name")).otherwise(F.raise_error(F.concat(F.lit("mates don't fit at "), F.col("a"))))).drop("n", "a", "b")
+    two = (F.col("n") == 2) & (F.col("a") == F.col("b")) & F.col("sequence2").isNotNull()
+    good = F.col("sequence1").isNotNull() & (two | (F.col("n") == 1) & F.col("alone"))
+    return both.withColumn("name", F.when(good, F.col("name")).otherwise(F.raise_error(F.concat(F.lit("mates don't fit at "), F.col("a"))))).drop("n", "a", "b", "alone")
 
 
 def with_recipe(reads: DataFrame, recipes: DataFrame) -> DataFrame:
@@ -64,7 +67,7 @@ def merge_single(reads: DataFrame) -> DataFrame:
 
 
 def merge_paired(pairs: DataFrame, single_umi_first: bool = True) -> DataFrame:
-    """All cycles of a cluster in order: padding, umi, read 1, padding, indexes, padding, umi, read 2, padding.
+    """All cycles of a cluster in order: padding, umi, read 1, padding, indexes, padding, umi, read 2, padding; of one without second read as ``merge_single``.
 
     A single umi belongs to read 1 if the mask has it there (``single_umi_first``), or always
     before read 2. What isn't measured gets the highest quality.
@@ -78,7 +81,10 @@ def merge_paired(pairs: DataFrame, single_umi_first: bool = True) -> DataFrame:
     parts = [F.col("R1B"), u1, (F.col("sequence1"), F.col("quality1")), F.col("R1A"), F.col("I1"), F.col("I2"), F.col("R2B"), u2, (F.col("sequence2"), F.col("quality2")), F.col("R2A")]
     text = F.concat(*[p[0] if isinstance(p, tuple) else p for p in parts])
     quality = F.concat(*[p[1] if isinstance(p, tuple) else marks(p) for p in parts])
-    return pairs.select("sample", "lane", "pos", "name", text.alias("sequence"), quality.alias("quality"))
+    single = F.col("sequence2").isNull()
+    return pairs.select(
+        "sample", "lane", "pos", "name", F.when(single, F.concat("sequence1", "I1")).otherwise(text).alias("sequence"),
+        F.when(single, F.concat("quality1", marks(F.col("I1")))).otherwise(quality).alias("quality"))
 
 
 def located(reads: DataFrame) -> DataFrame:

@@ -72,16 +72,19 @@ def search_report(spark: SparkSession, path: str, patterns: list[str], errors: i
 
 
 def clusters(spark: SparkSession, folder: str, recipes: DataFrame, single_umi_first: bool = True) -> DataFrame:
-    """All reads of a demultiplexed folder as clusters: lane, tile, x, y, pos, sequence, quality. Index files and undetermined reads are left out."""
+    """All reads of a demultiplexed folder as clusters: lane, tile, x, y, pos, sequence, quality. Index files and undetermined reads are left out.
+
+    Files are read once. Samples with a second file are merged from both, others from the first;
+    a pair that lacks its second read, though the sample's mask has one, raises.
+    """
     base = F.element_at(F.split("file", "/"), -1)
     reads = files.read_sequences(spark, folder, "*.fastq.gz").withColumn("base", base).filter(F.col("base").rlike("_R[12]_"))
     mates = reads.select(
         F.regexp_extract(names.lane_part(F.col("base")), "[1-9]", 0).cast("bigint").alias("lane"), names.sample_of_file(F.col("base")).alias("sample"),
         "pos", F.regexp_extract("base", "_R([12])_", 1).cast("int").alias("mate"), "name", "sequence", "quality")
-    known = rewind.with_recipe(mates, recipes)
-    single = rewind.merge_single(known.filter("R2 = 0"))
-    paired = rewind.merge_paired(rewind.with_recipe(rewind.pair(known.filter("R2 > 0").select(mates.columns)), recipes), single_umi_first)
-    return rewind.located(single.unionByName(paired)).select("lane", "tile", "x", "y", F.concat_ws("/", "sample", F.format_string("%015d", "pos")).alias("pos"), "sequence", "quality")
+    known = rewind.with_recipe(mates, recipes.select("sample", (F.col("R2") == 0).alias("alone")))
+    merged = rewind.merge_paired(rewind.with_recipe(rewind.pair(known, "alone"), recipes), single_umi_first)
+    return rewind.located(merged).select("lane", "tile", "x", "y", F.concat_ws("/", "sample", F.format_string("%015d", "pos")).alias("pos"), "sequence", "quality")
 
 
 def rewind_run(spark: SparkSession, folder: str, output: str, sheet_text: str, total_cycles: int | None = None, single_umi_first: bool = True, day: dt.datetime | None = None, controls: bool = False) -> int:
