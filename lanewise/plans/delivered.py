@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.functions import names
 from lanewise.operators import mixing, ncontent, search, sheets
 from lanewise.plans.archive import CELLS
-from lanewise.runtime import table
+from lanewise.runtime import ensure_checkpoint_dir, table
+from lanewise.streaming import barcodes
 
 COLUMNS = ("Lane", "Sample_ID", "Sample_Name", "Sample_Project", "index", "index2", "OverrideCycles")
 
@@ -63,7 +66,17 @@ def delivered_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.unexpected(mixing.index_mixing(sheet, found, ["run_id"]), sheet, ["run_id"]).drop("Fraction")
 
 
-QUERIES = {f.__name__: f for f in (delivered_barcodes, delivered_top, delivered_names, delivered_n, delivered_search, delivered_lanes, delivered_sheets, delivered_mixing)}
+def streamed_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Barcode counts by hour of loading, by a stream over the table's files."""
+    schema = table(spark, sf_dir, "reads").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/reads.parque[t]")  # a pattern, as the table may be a file or a folder
+    at = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    barcodes.write_all(barcodes.barcode_counts(stream), f"{at}/out", f"{at}/state").awaitTermination()
+    rows = spark.read.schema("start timestamp, file string, idx string, Count long").parquet(f"{at}/out")
+    return rows.withColumn("start", F.unix_micros("start"))
+
+
+QUERIES = {f.__name__: f for f in (delivered_barcodes, delivered_top, delivered_names, delivered_n, delivered_search, delivered_lanes, delivered_sheets, delivered_mixing, streamed_barcodes)}
 
 READS = "(select read_id, run_id, cast(run_id as varchar) || '/' || file as file, read_id as pos, name, sequence from reads)"
 COUNTED = f"""(select file, split_part(split_part(file, '/', 2), '_', 3) as "Lane", case when contains(name, ' ') then list_extract(string_split(split_part(name, ' ', 2), ':'), -1) end as "Undetermined_Index",
@@ -96,6 +109,7 @@ ORACLE = {
         select read_id, sequence, unnest(range(1, length(sequence) - 5)) as p from {READS} r) w where hamming(substring(sequence, p, 7), 'GATTACA') <= 1 qualify row_number() over (partition by read_id order by p) = 1""",
     "delivered_lanes": """select "Lane", cast(sum("Count") as bigint) as "Lane_Count", round(sum("Fraction"), 6) as "Lane_Fraction" from (
         select * from mixing_results qualify row_number() over (partition by "Lane", "Undetermined_Index" order by "Count" desc nulls last, "Fraction" desc nulls last) = 1) t group by 1""",
+    "streamed_barcodes": """select epoch_us(loaded_at) // 3600000000 * 3600000000 as start, file, idx, count(*) as "Count" from reads where not contains(idx, 'GGGG') group by 1, 2, 3""",
     "delivered_sheets": f"{SHEETS} select * exclude (header) from wide",
     "delivered_mixing": f"""{SHEETS}, s as (select f.run_id, case when length(l) < 4 then lpad(l, 4, 'L') else l end as "Lane", "Sample_Project", index as index1, index2
           from (select *, case when length("Lane") < 3 then lpad("Lane", 3, '0') else "Lane" end as l from wide where list_contains(header, 'Lane') and list_contains(header, 'Sample_Project') and list_contains(header, 'index')) w

@@ -381,7 +381,13 @@ def sheet_rows(spark, d):
     return sheets.data_rows(view(spark, d, "sheet_text")).select("row_no", "Lane", "Sample_ID", "Sample_Project", "index", "index2")
 
 
-@query("""select * from (values (1, 'R1', 151), (2, 'I1', 10), (3, 'I2', 8), (4, 'R2', 151)) t(ord, key, cycles)""")
+CYCLES_SQL = """select cast(list_position(['R1', 'I1', 'I2', 'R2'], key) as int) as ord, key, cycles from (
+    select replace(replace(replace(split_part(line, ',', 1), 'Read', 'R'), 'Index', 'I'), 'Cycles', '') as key, cast(split_part(line, ',', 2) as int) as cycles from (
+      select line, last_value(case when line like '[%' then line end ignore nulls) over (order by row_no rows between unbounded preceding and current row) as section from {sheet_text} t) s
+    where section = '[Reads]' and line not like '[%' and line <> '') c"""
+
+
+@query(CYCLES_SQL)
 def reads_cycles(spark, d):
     rows = sheets.sections(view(spark, d, "sheet_text")).filter("section = '[Reads]' and line not like '[%'")
     cells = F.split("line", ",")
@@ -390,39 +396,46 @@ def reads_cycles(spark, d):
     return rows.select(order.alias("ord"), key.alias("key"), cells[1].cast("int").alias("cycles"))
 
 
-MASKS = {
-    "Y151": (0, 0, 151, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), "Y151;I10;I10;Y151": (0, 0, 151, 0, 0, 10, 0, 0, 0, 10, 0, 0, 151, 0),
-    "Y151;I0;I0;Y151": (0, 0, 151, 0, 0, 0, 0, 0, 0, 0, 0, 0, 151, 0), "Y151;I8N2;Y151": (0, 0, 151, 0, 0, 8, 2, 0, 0, 0, 0, 0, 151, 0),
-    "Y151;N1I8N2;Y151": (0, 0, 151, 0, 1, 8, 2, 0, 0, 0, 0, 0, 151, 0), "U8Y143;I10;I10;Y151": (8, 0, 143, 0, 0, 10, 0, 0, 0, 10, 0, 0, 151, 0),
-    "Y151;Y151": (0, 0, 151, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), "U8Y143;I10;I10;U5Y146": (8, 0, 143, 0, 0, 10, 0, 5, 0, 10, 0, 0, 146, 0),
-    "N1Y100;I8;I8U9;U8N2Y90N1": (9, 1, 100, 0, 0, 8, 0, 8, 0, 8, 0, 2, 90, 1), "Y151;U9;I8;Y151": (9, 0, 151, 0, 0, 0, 0, 0, 0, 8, 0, 0, 151, 0), "Y100Y100": (0, 0, 100, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
-}
-SAMPLE_MASKS = {
-    "Y28;I8;I8;Y28": (0, 0, 28, 0, 0, 8, 0, 0, 0, 8, 0, 0, 28, 0), "Y30;I8": (0, 0, 30, 0, 0, 8, 0, 0, 0, 0, 0, 0, 0, 0),
-    "U4Y28;I8N2;N1I8;U3Y26N1": (4, 0, 28, 0, 0, 8, 2, 3, 1, 8, 0, 0, 26, 1), "N1Y30;I8;Y31": (0, 1, 30, 0, 0, 8, 0, 0, 0, 0, 0, 0, 31, 0),
-    "N1Y20;I8;I8U9;U8N2Y16N1": (9, 1, 20, 0, 0, 8, 0, 8, 0, 8, 0, 2, 16, 1), "Y32;I8;I8;Y32": (0, 0, 32, 0, 0, 8, 0, 0, 0, 8, 0, 0, 32, 0),
-}
+def masks_sql(source: str) -> str:
+    """The cycle numbers of the masks in ``source`` (mask), worked out from their letters and numbers."""
+    last = lambda which: f"coalesce(max_by(n, place) filter (where {which}), 0)"
+    fields = {"U1": "coalesce(min_by(n, place) filter (where letter = 'U' and n > 0), 0)", "U2": last("letter = 'U' and place > begun")}
+    for k in ("R1", "I1", "I2", "R2"):
+        fields |= {f"{k}B": last(f"kind = '{k}' and other and place < own"), k: last(f"kind = '{k}' and letter in ('Y', 'I')"), f"{k}A": last(f"kind = '{k}' and other and place > own")}
+    return f"""(select mask, {", ".join(f"cast({fields[f]} as int) as {f}" for f in masks.FIELDS)} from (
+      select *, coalesce(min(case when letter in ('Y', 'I') and n > 0 then place end) over (partition by mask, kind), 1000000) as own,
+        coalesce(min(case when letter = 'U' and n > 0 then place end) over (partition by mask), 1000000) as begun, letter not in ('U', 'Y', 'I') as other from (
+        select mask, s * 1000 + t as place, case when contains(segment, 'Y') then 'R' else 'I' end || cast((s - 1) // 2 + 1 as varchar) as kind,
+          regexp_extract(token, '^[A-Z]+') as letter, cast(regexp_extract(token, '[0-9]+$') as int) as n from (
+          select mask, s, segment, unnest(tokens) as token, generate_subscripts(tokens, 1) as t from (
+            select mask, s, segment, regexp_extract_all(segment, '[A-Z]+[0-9]+') as tokens from (
+              select mask, unnest(string_split(upper(mask), ';')) as segment, generate_subscripts(string_split(upper(mask), ';'), 1) as s from (select distinct mask from {source}) q0) q1) q2) q3) q4) q5 group by mask) k"""
 
 
-def masks_sql(known: dict) -> str:
-    return f"(values {', '.join(str((m, *v)) for m, v in known.items())}) k(mask, {', '.join(masks.FIELDS)})"
+#: Masks of all kinds of parts, out of the numbers of the suppliers.
+SOME_MASKS = """(select case when k % 3 = 0 then 'U' || cast(k % 7 as varchar) else '' end || case when k % 5 = 1 then 'n' || cast(k % 4 as varchar) else '' end || 'Y' || cast(100 + k % 60 as varchar)
+    || case when k % 4 = 1 then 'N2' else '' end || case when k % 7 = 3 then 'N1' else '' end
+    || case when k % 11 = 0 then '' else ';' || case when k % 6 = 2 then 'N3' else '' end || 'I' || cast(k % 9 as varchar) || case when k % 2 = 0 then 'N1' else '' end || case when k % 8 = 5 then 'U9' else '' end end
+    || case when k % 11 < 3 then '' else ';U8;U' || cast(k % 5 as varchar) || 'Y' || cast(90 + k % 30 as varchar) || 'N1' end as mask from (select s_suppkey as k from supplier) s)"""
 
 
-@query(f"select * from {masks_sql(MASKS)}")
+@query(f"select * from {masks_sql(SOME_MASKS + ' m')}")
 def mask_parse(spark, d):
-    return spark.createDataFrame([(m,) for m in MASKS], "mask string").select("mask", masks.parse_mask(F.col("mask")).alias("m")).select("mask", "m.*")
+    text = SOME_MASKS.replace("from supplier", f"from parquet.`{d}/supplier.parquet`").replace("varchar", "string")
+    return spark.sql(f"select distinct mask from {text} m").select("mask", masks.parse_mask(F.col("mask")).alias("parts")).select("mask", "parts.*")
 
 
+OWN_MASKS = masks_sql("(select OverrideCycles as mask from {samples} s) m")
 CUT = "case when row_no % 5 = 0 then substring(index, 1, 4) else index end"
 
 
-@query(f"select row_no, length({CUT}) = I1 as one, length(coalesce(index2, '')) = I2 as two from {{samples}} s join {masks_sql(SAMPLE_MASKS)} on mask = OverrideCycles")
+@query(f"select row_no, length({CUT}) = I1 as one, length(coalesce(index2, '')) = I2 as two from {{samples}} s join {OWN_MASKS} on mask = OverrideCycles")
 def mask_check(spark, d):
     s = view(spark, d, "samples").withColumn("index", F.expr(CUT)).withColumn("m", masks.parse_mask(F.col("OverrideCycles")))
     return s.select("row_no", masks.fits(F.col("index"), F.col("m.I1")).alias("one"), masks.fits(F.col("index2"), F.col("m.I2")).alias("two"))
 
 
-@query(f"select row_no, repeat('N', I1B) || index || repeat('N', I1A) as one, repeat('N', I2B) || coalesce(index2, '') || repeat('N', I2A) as two from {{samples}} s join {masks_sql(SAMPLE_MASKS)} on mask = OverrideCycles")
+@query(f"select row_no, repeat('N', I1B) || index || repeat('N', I1A) as one, repeat('N', I2B) || coalesce(index2, '') || repeat('N', I2A) as two from {{samples}} s join {OWN_MASKS} on mask = OverrideCycles")
 def index_pad(spark, d):
     s = view(spark, d, "samples").withColumn("m", masks.parse_mask(F.col("OverrideCycles")))
     return s.select("row_no", masks.padded(F.col("m.I1B"), F.col("index"), F.col("m.I1A")).alias("one"), masks.padded(F.col("m.I2B"), F.coalesce("index2", F.lit("")), F.col("m.I2A")).alias("two"))
@@ -438,7 +451,7 @@ def sample_key(spark, d):
 
 MASKS_TABLE = f"""select {KEY} as sample, repeat('N', R1B) as R1B, repeat('N', R1A) as R1A, repeat('N', R2B) as R2B, repeat('N', R2A) as R2A, repeat('N', U1) as U1, repeat('N', U2) as U2,
     repeat('N', I1B) || index || repeat('N', I1A) as I1, repeat('N', I2B) || coalesce(index2, '') || repeat('N', I2A) as I2, R1, R2
-    from {{samples}} s join {masks_sql(SAMPLE_MASKS)} on mask = OverrideCycles where Sample_Name is not null"""
+    from {{samples}} s join {OWN_MASKS} on mask = OverrideCycles where Sample_Name is not null"""
 
 
 @query(MASKS_TABLE)
@@ -701,7 +714,7 @@ def first_read(spark, d):
     return rewind.first_read(view(spark, d, "mates").filter("mate = 1").select("lane", "sample", "pos", "name"))
 
 
-@query("select * from (values (1, 'R1', 151, 'N'), (2, 'I1', 10, 'Y'), (3, 'I2', 8, 'Y'), (4, 'R2', 151, 'N')) t(number, key, cycles, is_index)")
+@query(f"select cast(row_number() over (order by ord) as int) as number, key, cycles, case when key like 'R%' then 'N' else 'Y' end as is_index from ({CYCLES_SQL}) c where cycles > 0")
 def runinfo_reads(spark, d):
     return rewind.run_info_reads(reads_cycles(spark, d))
 
@@ -730,18 +743,29 @@ def gen_distinct(spark, d):
     return rows.select("id", F.length("sequence").alias("size"), F.count("*").over(Window.partitionBy("sequence")).cast("int").alias("times"))
 
 
-@query()
+@query(f"""select cast(n.number as bigint) as n, mate, 50 as reads, case when mate = 1 then R1 else R2 end as size, 50 as places, 50 as named from (
+      select *, unnest([1, 2]) as mate from ({NUMBERED}) n join {OWN_MASKS} on mask = "OverrideCycles") n where case when mate = 1 then R1 else R2 end > 0""")
 def gen_reads(spark, d):
+    """Generated reads of each sample and mate: their number, length, different positions, and how many names have the form their recipe asks for."""
     rows = sheets.sample_numbers(view(spark, d, "samples")).withColumn("m", masks.parse_mask(F.col("OverrideCycles")))
+    extension = names.read_extension(F.col("index"), F.col("index2"), True)
     samples = rows.select(
-        F.col("number").alias("n"), F.concat(F.lit("VH1:1:FC1:"), F.col("Lane")).alias("prefix"), F.lit(1101).alias("tile"),
-        names.read_extension(F.col("index"), F.col("index2"), True).alias("extension"), "m.R1", "m.R2", "m.U1", "m.U2")
-    return synth.sample_reads(samples, 50, seed=4)
-
-
-@query()
+        F.col("number").alias("n"), F.concat(F.lit("VH1:1:FC1:"), F.col("Lane")).alias("prefix"), F.lit(1101).alias("tile"), extension.alias("extension"), "m.R1", "m.R2", "m.U1", "m.U2")
+    made = synth.sample_reads(samples, 50, seed=4).join(samples.select("n", "prefix", "extension", "U1", "U2"), "n")
+    parts = F.split(F.split_part("name", F.lit(" "), F.lit(1)), ":")
+    umi = F.coalesce(F.get(parts, F.lit(7)), F.lit(""))
+    size = F.col("U1") + F.col("U2") + F.when((F.col("U1") > 0) & (F.col("U2") > 0), 1).otherwise(0)
+    end = F.regexp_replace("extension", "^ 1", F.concat(F.lit(" "), F.col("mate").cast("string")))
+    fits = F.col("name").startswith(F.concat("prefix", F.lit(":1101:"))) & F.col("name").endswith(end) & (F.length(umi) == size) & umi.rlike("^[ACGT]*([+][ACGT]+)?$")
+    one = made.withColumns({"x": F.get(parts, F.lit(5)), "y": F.get(parts, F.lit(6)), "fits": fits & F.col("sequence").rlike("^[ACGT]+$") & (F.length("quality") == F.length("sequence"))})
+    return one.groupBy(F.col("n").cast("bigint").alias("n"), "mate").agg(
+        F.count("*").cast("int").alias("reads"), F.max(F.length("sequence")).alias("size"), F.countDistinct("x", "y").cast("int").alias("places"), F.sum(F.col("fits").cast("int")).cast("int").alias("named"))
+
+
+@query("select cast(unnest(range(0, 5)) as int) as seed, true as formed, true as again")
 def flowcell_id(spark, d):
-    return spark.createDataFrame([(n, synth.flowcell_id(n)) for n in range(5)], "seed int, flowcell_id string")
+    rows = spark.createDataFrame([(n, synth.flowcell_id(n), synth.flowcell_id(n)) for n in range(5)], "seed int, one string, two string")
+    return rows.select("seed", F.col("one").rlike("^[0-9]{2}[A-Z]{6}[0-9]$").alias("formed"), (F.col("one") == F.col("two")).alias("again"))
 
 
 LISTING = ("mydir\tdir", "", "mydir/subdir\tdir", "mydir/hello.txt\tfile", "mydir/plain", "mydir/a.b", "mydir/.DS_Store", "mydir/x.y\tdir", "mydir/z\tlink")
@@ -751,7 +775,11 @@ def _listing(spark):
     return spark.createDataFrame(list(enumerate(LISTING, start=1)), "ord long, line string")
 
 
-@query("""select cast(ord as bigint) as ord, path, kind from (values (1, 'mydir', 'dir'), (3, 'mydir/subdir', 'dir'), (4, 'mydir/hello.txt', 'file'), (5, 'mydir/plain', 'dir'), (6, 'mydir/a.b', 'file'), (7, 'mydir/.DS_Store', 'file'), (8, 'mydir/x.y', 'dir'), (9, 'mydir/z', 'dir')) t(ord, path, kind)""")
+LISTED = ", ".join("(" + str(n) + ", '" + line.replace("\t", "' || chr(9) || '") + "')" for n, line in enumerate(LISTING, start=1))
+
+
+@query(f"""select cast(ord as bigint) as ord, path, case when tag in ('dir', 'file') then tag when last = '.DS_Store' or regexp_full_match(last, '.+[.][^.]+') then 'file' else 'dir' end as kind from (
+    select *, list_extract(string_split(path, '/'), -1) as last from (select ord, trim(split_part(line, chr(9), 1)) as path, nullif(trim(split_part(line, chr(9), 2)), '') as tag from (values {LISTED}) t(ord, line) where trim(line) <> '') a) b""")
 def dir_parse(spark, d):
     return tree.parse(_listing(spark))
 

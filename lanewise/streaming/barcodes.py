@@ -19,3 +19,9 @@ def barcode_counts(reads: DataFrame, delay: str = "1 hour", window: str = "1 hou
 def write(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Closed windows as Parquet files, each once; runs until what is there has been read."""
     return counts.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_all(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """All windows so far, late reads included, as a Parquet table that each batch replaces; runs until what is there has been read."""
+    replace = lambda rows, _: rows.write.mode("overwrite").parquet(path)
+    return counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
