@@ -34,9 +34,13 @@ def clean(cell: Column) -> Column:
     return F.when(quoted, F.btrim(F.replace(outer.substr(F.lit(2), F.length(outer) - 2), F.lit('""'), F.lit('"')), F.lit(BLANKS))).otherwise(outer)
 
 
+def parts(line: Column) -> Column:
+    """The cells of a line as written. The comma put before it keeps every match from being empty."""
+    return F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1))
+
+
 def cells(line: Column) -> Column:
-    """The cells of a line. The comma put before it keeps every match from being empty."""
-    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1)), clean)
+    return F.transform(parts(line), clean)
 
 
 def has_content(line: Column) -> Column:
@@ -65,10 +69,10 @@ class Sheets:
     columns: DataFrame  # sheet_id, pos (from 0), field, level, long, head_no, end: a row for each header, of equal ones the first
 
     def rows(self, slots: DataFrame) -> DataFrame:
-        """sheet_id, line_no, cells, slots of the data rows, a line delivered again once. ``slots``: sheet_id, head_no, end, slots (of any type)."""
+        """sheet_id, line_no, parts (cells as written), slots of the data rows, a line delivered again once. ``slots``: sheet_id, head_no, end, slots (of any type)."""
         inside = beside(self.lines, slots).filter(INSIDE)
         once = inside.groupBy("sheet_id", "salt", "line_no").agg(F.max("line").alias("line"), F.first("slots").alias("slots"))
-        return once.filter(has_content(F.col("line"))).select("sheet_id", "line_no", cells(F.col("line")).alias("cells"), "slots")
+        return once.filter(has_content(F.col("line"))).select("sheet_id", "line_no", parts(F.col("line")).alias("parts"), "slots")
 
 
 def data_sections(lines: DataFrame) -> Sheets:
@@ -86,7 +90,7 @@ def data_sections(lines: DataFrame) -> Sheets:
     the header. What is shuffled for that is one row per sheet and place of a task.
     """
     known = lines.select("sheet_id", "line_no", "line").na.drop()
-    first = F.get(cells(F.col("line")), F.lit(0))
+    first = clean(F.get(parts(F.col("line")), F.lit(0)))
     marks = known.filter(F.col("line").contains("[")).select("sheet_id", "line_no", first.alias("mark")).filter(F.col("mark").startswith("[") & F.col("mark").endswith("]"))
     borders = marks.groupBy("sheet_id").agg(F.min(F.when(F.col("mark").isin(*DATA_SECTIONS), F.col("line_no"))).alias("start"), F.collect_set("line_no").alias("marks"))
     borders = borders.filter("start is not null").select("sheet_id", "start", F.array_min(F.filter("marks", lambda m: m > F.col("start"))).alias("end"))
@@ -95,10 +99,10 @@ def data_sections(lines: DataFrame) -> Sheets:
     heads = heads.select("sheet_id", F.col("head.line_no").alias("head_no"), "end", cells(F.col("head.line")).alias("header"))
     fields = heads.select("sheet_id", "head_no", "end", "header", F.posexplode("header").alias("pos", "field"))
     fields = fields.filter((F.col("field") != "") & (F.array_position("header", F.col("field")) == F.col("pos") + 1)).drop("header")
-    each = F.transform(cells(F.col("line")), lambda c: F.struct(level(c).alias("level"), (F.length(c) > DIGITS).alias("long")))
-    seen = inside.select("sheet_id", "line_no", F.posexplode(each).alias("pos", "c"))
+    seen = inside.select("sheet_id", "line_no", F.posexplode(parts(F.col("line"))).alias("pos", "part")).withColumn("cell", clean(F.col("part")))
+    seen = seen.select("sheet_id", "line_no", "pos", level(F.col("cell")).alias("level"), (F.length("cell") > DIGITS).alias("long"))
     last = lambda shown: F.max(F.when(shown, F.col("line_no")))
-    shown = seen.groupBy("sheet_id", "pos").agg(*[last(F.col("c.level") == n).alias(f"l{n}") for n in range(len(TYPES))], last((F.col("c.level") == 0) & F.col("c.long")).alias("l"))
+    shown = seen.groupBy("sheet_id", "pos").agg(*[last(F.col("level") == n).alias(f"l{n}") for n in range(len(TYPES))], last((F.col("level") == 0) & F.col("long")).alias("l"))
     found = F.when(F.lit(False), 0)
     for n in reversed(range(len(TYPES))):
         found = found.when(F.col(f"l{n}") > F.col("head_no"), n)
@@ -110,7 +114,7 @@ def data_sections(lines: DataFrame) -> Sheets:
 def long_cells(sheets: Sheets) -> DataFrame:
     """``sheet_id``, ``line_no``, ``field``, ``cell``: one row per data row and header; cells that a row lacks are empty."""
     slots = sheets.columns.groupBy("sheet_id", "head_no", "end").agg(F.collect_list(F.struct("field", "pos")).alias("slots"))
-    cell = lambda s: F.struct(s["field"].alias("field"), F.coalesce(F.get("cells", s["pos"]), F.lit("")).alias("cell"))
+    cell = lambda s: F.struct(s["field"].alias("field"), F.coalesce(clean(F.get("parts", s["pos"])), F.lit("")).alias("cell"))
     return sheets.rows(slots).select("sheet_id", "line_no", F.inline(F.transform("slots", cell)))
 
 
@@ -147,10 +151,11 @@ def same_cells(lines: DataFrame, both: DataFrame) -> DataFrame:
         only(1, 0).alias("columns1"), only(0, 1).alias("columns0"), key(1).alias("place1"), key(0).alias("place0"), *[of(s, f"{c}{s}").alias(f"{c}{s}") for c in ("head_no", "end") for s in (0, 1)])
     pairs = pairs.filter((F.size("columns1") > 0) & (F.size("columns0") > 0) & F.col("place1").isNotNull() & F.col("place0").isNotNull())
     read = lines.join(pairs.select(F.col("target").alias("pair"), F.inline(F.array(*sides))), "sheet_id").filter(INSIDE)
-    read = read.select("pair", "side", "columns", "place", cells(F.col("line")).alias("cells"))
-    sampled = read.select("pair", "side", "cells", F.coalesce(F.get("cells", F.col("place")), F.lit("")).alias("sample"), F.explode("columns").alias("c")).filter("sample <> ''")
-    cell = F.coalesce(F.get("cells", F.col("c.pos")), F.lit(""))
-    distinct = sampled.select("pair", "side", "sample", "c.field", F.xxhash64(cell).alias("c1"), F.xxhash64(F.lit(1), cell).alias("c2"), (cell != "").alias("full")).distinct()
+    read = read.select("pair", "side", "columns", "place", parts(F.col("line")).alias("parts"))
+    read = read.select("pair", "side", "columns", "parts", clean(F.get("parts", F.col("place"))).alias("sample")).filter("sample <> ''")
+    sampled = read.select("pair", "side", "parts", "sample", F.inline("columns")).select("pair", "side", "sample", "field", F.coalesce(clean(F.get("parts", F.col("pos"))), F.lit("")).alias("cell"))
+    cell = F.col("cell")
+    distinct = sampled.select("pair", "side", "sample", "field", F.xxhash64(cell).alias("c1"), F.xxhash64(F.lit(1), cell).alias("c2"), (cell != "").alias("full")).distinct()
     sets = distinct.groupBy("pair", "sample", "side", "field").agg(F.bit_xor("c1").alias("c1"), F.bit_xor("c2").alias("c2"), F.count("*").alias("n"), F.max("full").alias("full"))
     shared = sets.groupBy("pair", "sample").agg(F.collect_list(F.struct("side", "field", "c1", "c2", "n", "full")).alias("sets"), F.min("side").alias("low"), F.max("side").alias("high")).filter("low < high")
     prints = shared.select("pair", "sample", F.inline("sets")).groupBy("pair", "side", "field").agg(
@@ -290,6 +295,6 @@ def sample_rows(lines: DataFrame, files: DataFrame) -> DataFrame:
         while alias.lower() in taken:
             alias += "_"
         taken.add(alias.lower())
-        out.append(F.nullif(F.get("cells", F.try_element_at("slots", F.lit(r["standing"]))), F.lit("")).cast(kind).alias(alias))
+        out.append(F.nullif(clean(F.get("parts", F.try_element_at("slots", F.lit(r["standing"])))), F.lit("")).cast(kind).alias(alias))
     slots = named.groupBy("sheet_id", "head_no", "end").agg(F.map_from_entries(F.collect_list(F.struct("standing", "pos"))).alias("slots"))
     return sheets.rows(slots).select("sheet_id", "line_no", *out)

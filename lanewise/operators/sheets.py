@@ -38,7 +38,7 @@ def named_rows(lines: DataFrame, columns: tuple[str, ...], required: tuple[str,
     slots = read.columns.groupBy("sheet_id", "head_no", "end").agg(F.map_from_entries(F.collect_list(F.struct("field", "pos"))).alias("slots"))
     for c in required:
         slots = slots.filter(F.map_contains_key("slots", F.lit(c)))
-    cell = lambda c: F.nullif(F.get("cells", F.try_element_at("slots", F.lit(c))), F.lit("")).alias(c)
+    cell = lambda c: F.nullif(drift.clean(F.get("parts", F.try_element_at("slots", F.lit(c)))), F.lit("")).alias(c)
     return read.rows(slots).select("sheet_id", "line_no", *[cell(c) for c in columns])
 
 
