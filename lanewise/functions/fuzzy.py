@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lanewise.schema import MATCH
 
-#: Alternatives that a JVM pattern may have; larger budgets go to Python.
+#: Alternatives that a JVM pattern may have; beyond them the plain search runs in Python.
 MOST_ALTERNATIVES = 600
 BASES = "ACGTN"
 
@@ -59,7 +59,8 @@ def search(sequence: Column, pattern: str, errors: int = 0, kind: str = "s") ->
 
     Parts of the pattern are joined by ``+``. ``kind``: ``s`` substitutions, ``i`` insertions,
     ``d`` deletions, ``e`` any. A null sequence has no match. Substitutions in one or two
-    literal parts, and patterns without errors, run in the JVM; the others in an Arrow UDF.
+    literal parts, and patterns without errors, run in the JVM; the others in an Arrow UDF,
+    which gets only the sequences that have an undisturbed piece of each literal part.
     """
     parts = pattern.upper().split("+")
     plain = native_pattern(parts, errors) if kind in "se" and (kind == "s" or not errors) or not errors else None
@@ -77,9 +78,20 @@ def search(sequence: Column, pattern: str, errors: int = 0, kind: str = "s") ->
         whole = "(" + ".*".join(f"({p})" for p in parts) + ")"
         groups = range(2, re.compile(whole).groups + 1)
         return F.when(sequence.rlike(whole), F.struct(F.lit(0).alias("errors"), F.array(*[F.regexp_extract(sequence, whole, g) for g in groups]).alias("captures")))
+    for part in parts:
+        if pieces := undisturbed(part, errors):
+            sequence = F.when(sequence.rlike("|".join(pieces)), sequence)
     return python_search(pattern, errors, kind)(sequence)
 
 
+def undisturbed(part: str, errors: int) -> list[str]:
+    """Pieces of a literal part of which every match has one as it is: one more than errors can hit. None for short parts and for patterns."""
+    if not re.fullmatch("[A-Z]+", part) or len(part) <= errors:
+        return []
+    borders = [len(part) * i // (errors + 1) for i in range(errors + 2)]
+    return sorted({part[a:b] for a, b in zip(borders, borders[1:])})
+
+
 def python_pattern(pattern: str, errors: int, kind: str) -> str:
     """The fuzzy form: each part may have the errors, and all together not more."""
     budget = f"e<={errors}" if kind == "e" else ",".join(f"{k}<={errors if k == kind else 0}" for k in "ids")

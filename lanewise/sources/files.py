@@ -18,6 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from lanewise.schema import FILE, READ
 
 BATCH = 8192
+#: Bytes of a file that a task reads, where files can be split.
+SPLIT = 128 << 20
 ARROW = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("name", pa.string()), ("sequence", pa.string()), ("quality", pa.string())])
 
 
@@ -28,17 +30,21 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def listed(path: str, glob: str) -> list[str]:
-    """Files below ``path`` whose name fits ``glob`` (hidden ones too), or the file itself; sorted."""
+def sized(path: str, glob: str) -> list[tuple[str, int]]:
+    """Files below ``path`` whose name fits ``glob`` (hidden ones too), or the file itself, with their bytes; sorted."""
     system, inner = opened(path)
     info = system.get_file_info(inner)
     if info.type == fs.FileType.File:
-        return [path]
+        return [(path, info.size)]
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
     found = system.get_file_info(fs.FileSelector(inner, recursive=True))
     scheme = path.partition("://")[0] + "://" if "://" in path and not path.startswith("file:") else ""
-    return sorted(scheme + i.path for i in found if i.type == fs.FileType.File and fnmatch.fnmatch(i.base_name, glob))
+    return sorted((scheme + i.path, i.size) for i in found if i.type == fs.FileType.File and fnmatch.fnmatch(i.base_name, glob))
+
+
+def listed(path: str, glob: str) -> list[str]:
+    return [name for name, _ in sized(path, glob)]
 
 
 def lines_of(path: str) -> Iterator[str]:
@@ -87,13 +93,16 @@ class OneFile(InputPartition):
 
 
 class Reader(DataSourceReader):
-    """A task for each file (gzip can't be split); records leave as Arrow batches in file order."""
+    """A task for each file; records leave as Arrow batches in file order. With the option ``below`` files of more bytes are left out if they can be split."""
 
     def __init__(self, options: dict, records, glob: str):
-        self.path, self.glob, self.records = options["path"], options.get("glob", glob), records
+        self.path, self.glob, self.records, self.below = options["path"], options.get("glob", glob), records, options.get("below")
 
     def partitions(self) -> list[OneFile]:
-        return [OneFile(p) for p in listed(self.path, self.glob)]
+        from lanewise.sources.splits import splittable
+
+        found = sized(self.path, self.glob)
+        return [OneFile(p) for p, size in found if self.below is None or size <= int(self.below) or not splittable(p)]
 
     def read(self, partition: OneFile) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -226,12 +235,22 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def read_sequences(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Reads of a file or of all matching files below a folder; FASTA or FASTQ by the file name."""
+def read_sequences(spark: SparkSession, path: str, glob: str | None = None, split: int = SPLIT) -> DataFrame:
+    """Reads of a file or of all matching files below a folder; FASTA or FASTQ by the file name.
+
+    Plain and block-compressed FASTQ files of more than ``split`` bytes are read in ranges of so
+    many; other gzip files can't be.
+    """
+    from lanewise.sources import splits
+
     register(spark)
     kind = "fasta" if fnmatch.fnmatch(glob or path, "*.f*a") or fnmatch.fnmatch(glob or path, "*.f*a.gz") else "fastq"
     reader = spark.read.format(kind).option("path", path)
-    return (reader.option("glob", glob) if glob else reader).load()
+    reader = reader.option("glob", glob) if glob else reader
+    large = [(p, size) for p, size in sized(path, glob or FastqSource.glob) if size > split and splits.splittable(p)] if kind == "fastq" else []
+    if not large:
+        return reader.load()
+    return reader.option("below", split).load().unionByName(splits.read_ranges(spark, large, split))
 
 
 def write_sequences(rows: DataFrame, path: str, kind: str = "fastq") -> None:

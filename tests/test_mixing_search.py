@@ -72,7 +72,7 @@ def test_counting_cutting_and_cleaning(spark):
 
 @pytest.mark.parametrize(("pattern", "errors", "kind"), [
     ("ACGT", 0, "s"), ("ACGT", 1, "s"), ("ACGT", 2, "s"), ("ACG+TTA", 0, "s"), ("ACG+TTA", 1, "s"), ("ACG+TTA", 2, "s"), ("A[CG]T", 0, "s"),
-    ("ACT", 1, "i"), ("ACGT", 1, "d"), ("ACGT", 1, "e"), ("(A|C)GT+TT", 0, "s"), ("A[CG]TA", 1, "s"), ("acgt", 1, "s"),
+    ("ACT", 1, "i"), ("ACGT", 1, "d"), ("ACGT", 1, "e"), ("ACGTAC", 2, "e"), ("ACG+TTA", 1, "e"), ("ACG+T[AC]A", 1, "d"), ("(A|C)GT+TT", 0, "s"), ("A[CG]TA", 1, "s"), ("acgt", 1, "s"),
 ])
 def test_search_agrees_with_the_fuzzy_engine(spark, pattern, errors, kind):
     rng = random.Random(6)
@@ -89,6 +89,11 @@ def test_expansion(pattern, n):
     assert len(fuzzy.expand(pattern)) == n
 
 
+def test_pieces_that_errors_leave():
+    assert fuzzy.undisturbed("ACGTAC", 1) == ["ACG", "TAC"] and fuzzy.undisturbed("AAAA", 1) == ["AA"]
+    assert fuzzy.undisturbed("AC", 2) == fuzzy.undisturbed("A[CG]", 1) == []
+
+
 def test_patterns_kept_apart(spark):
     with pytest.raises(ValueError):
         fuzzy.expand("A+C")

@@ -6,6 +6,7 @@ import json
 import random
 import re
 import struct
+import zlib
 from xml.etree import ElementTree
 
 import pytest
@@ -242,6 +243,32 @@ def test_files_round_trip(spark, tmp_path):
         files.read_sequences(spark, str(broken)).collect()
 
 
+def blocked(data, size):
+    """Gzip members that name their size, and the empty one that ends the file."""
+    out = b""
+    for at in [*range(0, len(data), size), None]:
+        body = zlib.compress(b"" if at is None else data[at : at + size], wbits=-15)
+        raw = b"" if at is None else data[at : at + size]
+        out += struct.pack("<4BI2BH2s2H", 31, 139, 8, 4, 0, 0, 255, 6, b"BC", 2, len(body) + 25) + body + struct.pack("<2I", zlib.crc32(raw), len(raw))
+    return out
+
+
+@pytest.mark.parametrize("split", [64, 701])
+def test_files_read_in_ranges(spark, tmp_path, split):
+    rng = random.Random(split)
+    records = [(f"r{i} @+", s := "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 9))), "".join(rng.choice("@+I") for _ in s)) for i in range(60)]
+    text = "".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in records)
+    (tmp_path / "a.fastq").write_text(text[:-1])
+    (tmp_path / "b.fastq").write_bytes(text.replace("\n", "\r\n").encode())
+    (tmp_path / "c.fastq.gz").write_bytes(blocked(text.encode(), 91))
+    (tmp_path / "d.fastq.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "e.fastq").write_text("")
+    assert gzip.decompress((tmp_path / "c.fastq.gz").read_bytes()).decode() == text
+    got = files.read_sequences(spark, str(tmp_path), "*.fastq*", split)
+    assert sorted(tuple(r)[1:] for r in got.collect()) == sorted((i, *r) for i, r in enumerate(records) for _ in range(4))
+    assert got.select("file").distinct().count() == 4
+
+
 def test_packed_bytes():
     rng = random.Random(2)
     for n in (0, 1, 2, 5, 8):
