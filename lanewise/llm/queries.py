@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,13 +57,23 @@ def p3_even(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p4_totals(spark, sf_dir).select("Undetermined_Index")
+    return _heavy(spark, sf_dir).select("Undetermined_Index")
 
 
-def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy.heavy_items(table(spark, sf_dir, "mixing_results"), "Undetermined_Index", "Count", 0.01)
 
 
+def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals as verified, and whether the sketch's estimate is at least that and within its bound.
+
+    A row of the sketch errs by more than e / 1024 of all counts with a chance of 1 / e, the least of four
+    rows with e ** -4; all counts are at most 100 times an item's total here.
+    """
+    close = (F.col("estimate") >= F.col("total")) & (F.col("estimate") <= F.col("total") * (1 + 100 * math.e / heavy.WIDTH))
+    return _heavy(spark, sf_dir).select("Undetermined_Index", "total", close.alias("close"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"), ["doc_id"])
 

@@ -9,7 +9,7 @@ select run_id, "Lane", "Undetermined_Index", "Count", cast(rank as int) as rank
 """
 
 HEAVY = """
-select "Undetermined_Index" from mixing_results where "Undetermined_Index" is not null group by 1
+select "Undetermined_Index", cast(sum("Count") as bigint) as total, true as close from mixing_results where "Undetermined_Index" is not null group by 1
 having 100 * sum("Count") >= (select sum("Count") from mixing_results where "Undetermined_Index" is not null)
 """
 
@@ -29,7 +29,8 @@ def oracle_sql() -> dict:
         "p2_found": f'select run_id, "Lane", "Undetermined_Index" from ({RANKED})',
         "p2_ranked": RANKED,
         "p3_even": "select s as sample, least(k, n) as rows, true as once, true as even, least(k, n) as known from (values ('rest', 5000), ('fed', 500)) t(s, k), (select count(*) as n from reads) r",
-        "p4_found": HEAVY,
+        "p4_found": f'select "Undetermined_Index" from ({HEAVY}) h',
+        "p4_totals": HEAVY,
         "p6_decoded": "select doc_id, coalesce(text, '') as text from documents",
         "p7_kept": "select t.source, count(d.doc_id) as documents, true as once, true as capped, true as near from mix_targets t left join documents d on d.source = t.source group by 1",
         "p8_shares": f"select doc_id, words, repeated, round(case when words > 0 then repeated / cast(words as double) else 0 end, 9) as share from ({SHARES}) s",

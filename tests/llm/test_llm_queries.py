@@ -9,7 +9,7 @@ from lanewise.llm import queries, sql
 
 DATA = "/root/testdata/sf0.001"
 FORMS = {
-    "p3_sample": None, "p3_arrivals": None, "p4_totals": ["Undetermined_Index", "estimate", "total"], "p6_ids": ["doc_id", "ids"], "p7_mixture": ["doc_id", "source", "tokens", "copies"],
+    "p3_sample": None, "p3_arrivals": None, "p6_ids": ["doc_id", "ids"], "p7_mixture": ["doc_id", "source", "tokens", "copies"],
     "p7_shares": None, "p8_ratios": ["doc_id", "llr", "candidate", "repetitive"],
 }
 

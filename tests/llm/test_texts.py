@@ -81,6 +81,17 @@ def test_corpus_with_nulls_and_special_strings(spark, vocabulary):
     assert bpe.encode_corpus(df.limit(0), ["doc_id"]).count() == 0
 
 
+def test_ids_leave_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(bpe, "SENT", 7)
+    texts = ["a b c d e", None, "", "x y", "one two three four five six seven eight nine", "z"]
+    rows = bpe.pa.RecordBatch.from_arrays([bpe.pa.array(range(6)), bpe.pa.array(texts)], names=["k0", "text"])
+    for counts in (False, True):
+        sent = list(bpe._encoded(bpe.vocabulary_path(), 64, counts)(iter([rows.slice(0, 0), rows, rows.slice(3)])))
+        got = [(r["k0"], r["out"]) for b in sent for r in b.to_pylist()]
+        want = [(i, LIBRARY.encode_ordinary(texts[i] or "")) for i in [*range(6), 3, 4, 5]]
+        assert got == [(i, len(x) if counts else x) for i, x in want] and max(b.num_rows for b in sent) < 6
+
+
 def corpus(spark, sizes):
     rng = random.Random(4)
     rows = [(n, "word " * rng.randint(1, 2 * size), s) for n, (s, size) in enumerate((s, size) for s, (docs, size) in sizes.items() for _ in range(docs))]
