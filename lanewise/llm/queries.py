@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lanewise.llm import bpe, heavy, mixture, repetition, reservoir, topn
 from lanewise.runtime import table
 
-#: Rows of the samples: of the table at rest, and of the one fed in ARRIVALS batches of pieces.
-SAMPLE, FED, ARRIVALS = 5_000, 500, 8
+#: Rows of the sample; of the small ones, which no table is too small for; batches that feed a reservoir.
+SAMPLE, SMALL, ARRIVALS = 20_000, 500, 8
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def p3_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = table(spark, sf_dir, "reads")
     piece = F.coalesce("chunk_id", F.lit(-1))
     low, high = reads.agg(F.min(piece), F.max(piece)).first()
-    state, sample = reservoir.Reservoir(FED, "read_id"), reads.limit(0)
+    state, sample = reservoir.Reservoir(SMALL, "read_id"), reads.limit(0)
     for i in range(ARRIVALS if low is not None else 0):
         begin, end = (low + (high + 1 - low) * n // ARRIVALS for n in (i, i + 1))
         sample = state.add(reads.filter((piece >= begin) & (piece < end)))
@@ -39,13 +39,13 @@ def p3_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_even(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must hold of either sample: its size, no row twice, only rows of the table with all their values, and as many of each half of the pieces as chance allows."""
+    """What must hold of a small sample of the table at rest and of the fed one: its size, no row twice, only rows of the table with all their values, and as many of each half of the pieces as chance allows."""
     reads = table(spark, sf_dir, "reads")
     size = reads.count()
     early = F.coalesce("chunk_id", F.lit(-1)) <= reads.agg(F.percentile_approx(F.coalesce("chunk_id", F.lit(-1)), 0.5)).first()[0] if size else F.lit(False)
     first = reads.filter(early).count()
     out = None
-    for name, sample in (("rest", p3_sample(spark, sf_dir)), ("fed", p3_arrivals(spark, sf_dir))):
+    for name, sample in (("rest", reservoir.reservoir_sample(reads, SMALL, "chunk_id", "read_id")), ("fed", p3_arrivals(spark, sf_dir))):
         n = F.count("*")
         part = F.lit(first / max(1, size))
         off = F.abs(F.sum(early.cast("int")) - n * part) <= 5 * F.sqrt(n * part * (1 - part)) + 1

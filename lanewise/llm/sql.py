@@ -28,7 +28,7 @@ def oracle_sql() -> dict:
     return {
         "p2_found": f'select run_id, "Lane", "Undetermined_Index" from ({RANKED})',
         "p2_ranked": RANKED,
-        "p3_even": "select s as sample, least(k, n) as rows, true as once, true as even, least(k, n) as known from (values ('rest', 5000), ('fed', 500)) t(s, k), (select count(*) as n from reads) r",
+        "p3_even": "select s as sample, least(k, n) as rows, true as once, true as even, least(k, n) as known from (values ('rest', 500), ('fed', 500)) t(s, k), (select count(*) as n from reads) r",
         "p4_found": f'select "Undetermined_Index" from ({HEAVY}) h',
         "p4_totals": HEAVY,
         "p6_decoded": "select doc_id, coalesce(text, '') as text from documents",
