@@ -88,6 +88,14 @@ def test_generate_and_rewind(spark, tmp_path):
     with pytest.raises(FileExistsError):
         cli.main(["rewind", "--input-path", str(run / "FC"), "--output-path", str(out)])
     assert cli.main(["rewind", "--input-path", str(run / "FC"), "--output-path", str(out), "--total-cycles", "90", "--force"]) == 0
+    from lanewise.operators import rewind
+
+    some = spark.createDataFrame([(1, 1101, 1000, 1000), (1, 2216, 1000, 1300), (2, 1101, 1000, 1000)], "lane int, tile int, x int, y int")
+    files.write_blobs(rewind.filter_files(rewind.occupied(some), [1, 2], [1101, 2216], controls=True), str(tmp_path / "c"))
+    kept = {p.name: p.read_bytes() for p in (tmp_path / "c").rglob("s_*")}
+    assert {n for n in kept if n.endswith("control")} == {f"s_{lane}_{tile}.control" for lane in (1, 2) for tile in (1101, 2216)}
+    assert all(b == encode.control_bytes(2) for n, b in kept.items() if n.endswith("control"))
+    assert {n: list(b[12:]) for n, b in kept.items() if n.endswith("filter")} == {"s_1_1101.filter": [1, 0], "s_1_2216.filter": [0, 1], "s_2_1101.filter": [1, 0], "s_2_2216.filter": [0, 0]}
     assert len(list(out.rglob("C*.1"))) == 2 * 90 and (out / "SampleSheet.csv").read_text() == sheet.read_text()
 
     # read back: positions, filters and calls together give the clusters
