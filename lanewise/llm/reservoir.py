@@ -213,12 +213,12 @@ class Reservoir:
             self.alive[:, s] -= split(self.rng, self.alive[:, s], int(evicted[s]))
         inserted = split(self.rng, counts, new)
         if new or not self.parts:
-            self.parts.append(written(self._ranked(piece, inserted)))
+            self.parts.append(checkpointed(self._ranked(piece, inserted)))
             self.alive = np.vstack([self.alive, inserted])
             self.stored += new
         self.seen += n
         if len(self.parts) > MOST_PARTS or self.stored > 2 * max(1, full):
             held = self.alive.sum(axis=0)
-            self.parts = [written(self._ranked(self.sample(), held))]
+            self.parts = [checkpointed(self._ranked(self.sample(), held))]
             self.alive, self.stored = held.reshape(1, -1), int(held.sum())
         return self.sample()
