@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import gzip
 import re
 import uuid
@@ -133,6 +134,38 @@ def lane_summary(spark, d):
     return mixing.by_lane(_unexpected(spark, d)).select("Lane", "Lane_Count", rounded("Lane_Fraction"))
 
 
+#: Rows of the reports of the whole tool, where an empty second index of a sheet is an empty text.
+_SECOND = fit_sql('"Undetermined_Index"', "index2")
+REPORTED = UNEXPECTED.replace(f"index2 is null or {_SECOND}", f"index2 = '' or {_SECOND.replace('index2', "nullif(index2, '')")}").replace("{sheet}", "(select Lane, Sample_Project, index1, coalesce(index2, '') as index2 from {sheet} q)")
+
+
+def _reports(spark, d) -> tuple[list[list[str]], list[list[str]]]:
+    """Cells of both reports of the mixing tool, from FASTQ files and a sheet to CSV files."""
+    source, out = folder(spark), folder(spark)
+    files.write_sequences(view(spark, d, "reads"), source)
+    rows = view(spark, d, "sheet").collect()
+    sheet = "[Data]\nLane,Sample_Project,index,index2\n" + "".join(f"{r['Lane']},{r['Sample_Project']},{r['index1']},{r['index2'] or ''}\n" for r in rows)
+    files.make_folder(out)
+    paths = [f"{out}/{x}.csv" for x in ("unexpected_indexes", "lane_summary")]
+    for path, report in zip(paths, runs.mixing_report(spark, source, sheet)):
+        runs.write_csv(report, path)
+    return tuple(list(csv.reader(files.read_text(p).splitlines()))[1:] for p in paths)
+
+
+@query(f"""select row_number() over (order by "Lane", "Count" desc, "Undetermined_Index", "Fraction", "Sample_Project", "Lane_Project", index1, index2) as ord,
+    "Lane", "Undetermined_Index", "Count", round("Fraction", 9) as "Fraction", "Sample_Project", "Lane_Project", index1, index2 from ({REPORTED}) u""")
+def mixing_report(spark, d):
+    rows = [(n, r[0], r[1], int(r[2]), round(float(r[3]), 9), *r[4:]) for n, r in enumerate(_reports(spark, d)[0], start=1)]
+    return spark.createDataFrame(rows, "ord long, Lane string, Undetermined_Index string, Count long, Fraction double, Sample_Project string, Lane_Project string, index1 string, index2 string")
+
+
+@query(f"""select row_number() over (order by "Lane") as ord, "Lane", cast(sum("Count") as bigint) as "Lane_Count", round(sum("Fraction"), 9) as "Lane_Fraction"
+    from (select distinct "Lane", "Undetermined_Index", "Count", "Fraction" from ({REPORTED}) u) x group by 2""")
+def mixing_summary(spark, d):
+    rows = [(n, r[0], int(r[1]), round(float(r[2]), 9)) for n, r in enumerate(_reports(spark, d)[1], start=1)]
+    return spark.createDataFrame(rows, "ord long, Lane string, Lane_Count long, Lane_Fraction double")
+
+
 # names
 
 @query("""select read_id, idx as barcode from {reads} r""")
