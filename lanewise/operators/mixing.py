@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewise.runtime import written
+
 POLY_G = "GGGG"
 TOP = 1000
 
@@ -36,16 +38,18 @@ def top_barcodes(reads: DataFrame, top: int = TOP) -> DataFrame:
     return best.join(totals, "file").select("file", "Lane", "Undetermined_Index", "Count", share.alias("Fraction"))
 
 
-def masked(text: Column) -> Column:
-    """Forms of a text with one character replaced, the text itself if it is empty; texts of a length that differ in one place share one."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(F.transform(places, lambda p: F.concat(F.substr(text, F.lit(1), p - 1), F.lit("_"), F.substr(text, p + 1))))
+def with_forms(df: DataFrame, text: str) -> DataFrame:
+    """``df`` without ``text``, a row for each ``form``: hash of the text with one character left out, and its place; texts of a length that differ in one place share one."""
+    at, whole = F.col("form"), F.col(text)
+    rows = df.withColumn("form", F.explode(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))))
+    return rows.withColumn("form", F.xxhash64(F.substr(whole, F.lit(1), at - 1), at, F.substr(whole, at + 1))).drop(text)
 
 
-def windows(text: Column, size: Column) -> Column:
-    """The parts of ``text`` of ``size`` characters, none if it is shorter."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-    return F.when(F.length(text) >= size, F.transform(places, lambda at: F.substr(text, at, size))).otherwise(F.array().cast("array<string>"))
+def with_windows(df: DataFrame, text: str, lengths: list[int]) -> DataFrame:
+    """``df`` with ``part``, a row for each part of ``text`` of one of these lengths. Exploded step by step, which stays in generated code."""
+    rows = df.withColumn("size", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>"))).filter(F.length(text) >= F.col("size"))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("size") + 1)))
+    return rows.withColumn("part", F.substr(F.col(text), F.col("part"), F.col("size"))).drop("size")
 
 
 def within_one(text: Column, index: Column) -> Column:
@@ -65,19 +69,21 @@ def index_mixing(sheet: DataFrame, barcodes: DataFrame, run: list[str] | None =
 
     Texts of one length differ in at most one place just if they share a form with one place
     masked; so windows of the barcodes and first indexes of the sheet meet in an equi-join on
-    such forms, in place of a comparison of all pairs. The second index is compared for the
-    pairs that are left.
+    hashes of such forms, in place of a comparison of all pairs. Both indexes are compared for
+    the pairs that are left.
     """
     run = run or []
     samples = sheet.filter("index1 is not null").groupBy(*run, "Lane", "Sample_Project", "index1", "index2").agg(F.count("*").alias("times"))
     found = barcodes.filter("Undetermined_Index is not null").groupBy(*run, "Lane", "Undetermined_Index", "Count", "Fraction").agg(F.count("*").alias("again"))
     lengths = [r[0] for r in samples.select(F.length("index1")).distinct().collect()]
     text = F.col("Undetermined_Index")
-    parts = F.flatten(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda size: windows(text, size)))
-    left = samples.select(*run, F.col("Lane").alias("Lane_Project"), "Sample_Project", "index1", "index2", "times", F.explode(masked(F.col("index1"))).alias("form"))
-    right = found.select("*", F.explode(F.array_distinct(F.flatten(F.transform(parts, masked)))).alias("form"))
+    left = with_forms(samples.select(*run, F.col("Lane").alias("Lane_Project"), "Sample_Project", "index1", "index2", "times", F.col("index1").alias("part")), "part")
+    left = written(left)  # its size is known then: where sheets are few, the barcodes' rows needn't be shuffled
+    # a barcode becomes a hundred rows, which its size before doesn't tell: not to be coalesced
+    spread = found.repartition(max(found.sparkSession.sparkContext.defaultParallelism, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    right = with_forms(with_windows(spread, "Undetermined_Index", lengths), "part")
     pairs = right.join(left, [*run, "form"]).filter(F.col("Lane") != F.col("Lane_Project")).drop("form").distinct()
-    fits = pairs.filter(F.col("index2").isNull() | within_one(text, F.col("index2")))
+    fits = pairs.filter(within_one(text, F.col("index1"))).filter(F.col("index2").isNull() | within_one(text, F.col("index2")))
     copies = F.explode(F.array_repeat(F.lit(1), (F.col("times") * F.col("again")).cast("int"))).alias("one")
     return fits.select(*run, "Lane", "Undetermined_Index", "Count", "Fraction", "Sample_Project", "Lane_Project", "index1", "index2", copies).drop("one")
 
